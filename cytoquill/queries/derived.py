@@ -274,6 +274,32 @@ CTES = {
     "obsraw": _sql(OBS_RAW, "lineitem"),
     "obstpl": f"SELECT obsraw.*, ref_base, ref_before, ref_after, {OBS_TEMPLATE} AS template FROM obsraw JOIN near USING (contig, pos)",
     "obs": _sql(OBS_FINAL, "obstpl"),
+    "filtered": "SELECT * FROM obs WHERE (flag & 3) = 3 AND (flag & 3852) = 0 AND (mapq = 255 OR mapq >= 1)",
+    "ranked": """SELECT *, row_number() OVER (PARTITION BY contig, pos ORDER BY read_start, read_id, tie) AS read_rank
+  FROM filtered""",
+    "good": "SELECT *, min(base) OVER f AS lo, max(base) OVER f AS hi FROM ranked WHERE read_rank <= 1000 AND baseq >= 10 "
+    "WINDOW f AS (PARTITION BY contig, pos, frag)",
+    "counted": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contig, pos, frag
+    ORDER BY CASE WHEN lo <> hi THEN is_second ELSE 0 END, read_rank) AS k FROM good) WHERE k = 1""",
+    "alleles": """SELECT contig, pos, base, count(*) AS depth, count(*) FILTER (strand = 'OT') AS n_ot, count(*) FILTER (strand = 'OB') AS n_ob,
+    sum(baseq*baseq) AS bq2, sum((CASE WHEN mapq = 255 THEN 60 ELSE mapq END)**2) AS mq2,
+    sum(baseq*baseq) FILTER (strand = 'OT') AS bq2_ot, sum(baseq*baseq) FILTER (strand = 'OB') AS bq2_ob,
+    sum((CASE WHEN mapq = 255 THEN 60 ELSE mapq END)**2) FILTER (strand = 'OT') AS mq2_ot,
+    sum((CASE WHEN mapq = 255 THEN 60 ELSE mapq END)**2) FILTER (strand = 'OB') AS mq2_ob,
+    sum(aligned*aligned) AS al2, sum(indels*indels) AS in2, sum((qpos/read_len)**2) AS pir2, count(*) FILTER (mapq = 0) AS mapq0,
+    count(*) FILTER (strand = 'OT' AND next_base = 'G') AS ot_next_g, count(*) FILTER (strand = 'OB' AND prev_base = 'C') AS ob_prev_c,
+    min(read_rank) AS first_seen FROM counted GROUP BY contig, pos, base""",
+    "covered": """SELECT a.*, r.base AS ref, r.before2, r.before, r.after, r.after2 FROM (
+    SELECT contig, pos, CAST(sum(depth) AS BIGINT) AS depth, sqrt(sum(bq2)/sum(depth)) AS baseq, sqrt(sum(mq2)/sum(depth)) AS mapq,
+      CAST(sum(mapq0) AS BIGINT) AS mapq0 FROM alleles GROUP BY contig, pos) a JOIN refctx r USING (contig, pos)""",
+    "altrows": """SELECT c.contig, c.pos, c.ref, c.before2, c.before, c.after, c.after2, c.depth AS col_depth, c.mapq AS col_mapq, c.mapq0 AS col_mapq0,
+    a.base AS alt, a.depth AS alt_depth, a.n_ot, a.n_ob, a.bq2, a.mq2, a.first_seen,
+    row_number() OVER (PARTITION BY c.contig, c.pos ORDER BY a.depth DESC, a.first_seen) - 1 AS alt_rank
+  FROM covered c JOIN alleles a USING (contig, pos) WHERE a.base <> c.ref AND a.base IN ('A','C','G','T')""",
+    "verdicts": """SELECT *, alt_depth/col_depth AS af, least(1.0, 2.0*alt_depth/col_depth) AS score,
+    CASE WHEN NOT (col_depth > 1 AND col_mapq > 5 AND ref IN ('A','C','G','T')) THEN 'pre_ml'
+      WHEN alt_depth > 1000 AND ((ref = 'C' AND after = 'G' AND alt = 'T') OR (ref = 'G' AND before = 'C' AND alt = 'A')) THEN 'm_highDp'
+      WHEN least(1.0, 2.0*alt_depth/col_depth) >= 0.4 THEN 'PASS' ELSE 'low_ml_score' END AS alt_filter FROM altrows""",
     "fragments": _sql(FRAGMENT, "orders"),
     "mates0": _sql(MATE, "fragments, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) AS t(mate)"),
     "mates": "SELECT *, " + ", ".join(f"{t} AS {n}" for n, t in SHAPE.items()) + " FROM mates0",
@@ -289,6 +315,14 @@ _NEEDS = {
     "near": ["refctx"],
     "obstpl": ["obsraw", "near"],
     "obs": ["obstpl"],
+    "filtered": ["obs"],
+    "ranked": ["filtered"],
+    "good": ["ranked"],
+    "counted": ["good"],
+    "alleles": ["counted"],
+    "covered": ["alleles", "refctx"],
+    "altrows": ["covered", "alleles"],
+    "verdicts": ["altrows"],
     "mates0": ["fragments"],
     "mates": ["mates0"],
     "spelled0": ["mates"],
