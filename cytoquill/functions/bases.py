@@ -55,14 +55,10 @@ def five_base_context(b2: Column, b1: Column, ref: Column, a1: Column, a2: Colum
 
 
 def cytosine_context(strand: Column, before2: Column, before1: Column, after1: Column, after2: Column) -> Column:
-    """CG / CHG / CHH of a cytosine read on `strand`; NULL where a needed neighbour is unknown."""
+    """CG / CHG / CHH of a cytosine read on `strand`; what is not known to be the former is CHH."""
     near = F.when(strand == "OB", complement(before1)).otherwise(after1)
     far = F.when(strand == "OB", complement(before2)).otherwise(after2)
-    return (
-        F.when(near == "G", F.lit("CG"))
-        .when(near.isin("A", "C", "T") & (far == "G"), F.lit("CHG"))
-        .when(near.isin("A", "C", "T") & far.isin("A", "C", "T"), F.lit("CHH"))
-    )
+    return F.when(near == "G", F.lit("CG")).when(far == "G", F.lit("CHG")).otherwise(F.lit("CHH"))
 
 
 # Letters of the XM tag, methylated upper case.
