@@ -45,8 +45,7 @@ def complement(base: Column) -> Column:
 
 def reverse_complement(seq: Column) -> Column:
     """Everything that is not A, C, G or T becomes N."""
-    known_only = F.regexp_replace(F.upper(seq), "[^ACGT]", "N")
-    return F.reverse(F.translate(known_only, "ACGT", "TGCA"))
+    return F.reverse(F.translate(F.regexp_replace(seq, "[^ACGTacgt]", "N"), "ACGTacgt", "TGCATGCA"))
 
 
 def five_base_context(b2: Column, b1: Column, ref: Column, a1: Column, a2: Column) -> Column:

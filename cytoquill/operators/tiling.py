@@ -55,11 +55,18 @@ def with_neighbours(
 
 
 def with_range_aggregates(
-    df: DataFrame, aggregates: dict[str, Column], radius: int, keys: Sequence[str] = ("contig",), pos: str = "pos", width: int = TILE
+    df: DataFrame,
+    aggregates: dict[str, Column],
+    radius: int | None = None,
+    keys: Sequence[str] = ("contig",),
+    pos: str = "pos",
+    width: int = TILE,
+    span: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Aggregate over all rows within `radius` positions on either side."""
-    w = tile_window(keys, pos).rangeBetween(-radius, radius)
-    tiled = with_tiles(df, pos, width, radius)
+    """Aggregate over all rows within `radius` positions on either side, or within `span` = (from, to)."""
+    low, high = span if span is not None else (-radius, radius)
+    w = tile_window(keys, pos).rangeBetween(low, high)
+    tiled = with_tiles(df, pos, width, max(abs(low), abs(high)))
     return core_only(tiled.withColumns({name: agg.over(w) for name, agg in aggregates.items()}))
 
 
@@ -169,6 +176,15 @@ def overlap_join(
     return pairs.where(f"{test} and _bin = greatest(l_start, r_start) div {width}").drop("_bin")
 
 
+def _with_sites(queries: DataFrame, sites: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """Distinct positions of both tables, with `_site` set where there is a site."""
+    return (
+        queries.select(*keys, pos).withColumn("_site", F.lit(None).cast("bigint"))
+        .unionByName(sites.select(*keys, pos).withColumn("_site", F.col(pos).cast("bigint")))
+        .groupBy(*keys, pos).agg(F.max("_site").alias("_site"))
+    )
+
+
 def nearest_before(
     queries: DataFrame, sites: DataFrame, name: str, keys: Sequence[str] = ("contig",), pos: str = "pos", width: int = TILE
 ) -> DataFrame:
@@ -177,15 +193,35 @@ def nearest_before(
     `sites` holds unique positions; query positions may repeat, so the look-up runs on their distinct
     values and is joined back.
     """
-    marked = (
-        queries.select(*keys, pos).withColumn("_site", F.lit(None).cast("bigint"))
-        .unionByName(sites.select(*keys, pos).withColumn("_site", F.col(pos).cast("bigint")))
-        .groupBy(*keys, pos).agg(F.max("_site").alias("_site"))
-    )
-    found = with_running(marked, maxima={name: F.col("_site")}, keys=keys, pos=pos, width=width)
+    found = with_running(_with_sites(queries, sites, keys, pos), maxima={name: F.col("_site")}, keys=keys, pos=pos, width=width)
     return queries.join(found.select(*keys, pos, name), [*keys, pos], "left")
 
 
+def sites_up_to(
+    queries: DataFrame, sites: DataFrame, name: str, keys: Sequence[str] = ("contig",), pos: str = "pos", width: int = TILE
+) -> DataFrame:
+    """How many sites lie at or before each query position."""
+    one = F.when(F.col("_site").isNotNull(), 1).otherwise(0)
+    found = with_running(_with_sites(queries, sites, keys, pos), sums={name: one}, keys=keys, pos=pos, width=width)
+    return queries.join(found.select(*keys, pos, name), [*keys, pos], "left")
+
+
+def coverage_at(positions: DataFrame, intervals: DataFrame, depths: dict[str, Column], keys: Sequence[str] = ("contig",), width: int = TILE) -> DataFrame:
+    """Add to every position how many half-open intervals cover it, once per named condition on the interval."""
+    names = list(depths)
+    ends = F.array(
+        F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))
+    )
+    flagged = intervals.withColumns({f"_{n}": F.when(c, 1).otherwise(0) for n, c in depths.items()})
+    events = flagged.withColumn("_e", F.explode(ends)).select(
+        *keys, F.col("_e.pos").alias("pos"), F.lit(0).alias("_asked"), *[(F.col(f"_{n}") * F.col("_e.d")).alias(n) for n in names]
+    )
+    asked = positions.select(*keys, "pos", F.lit(1).alias("_asked"), *[F.lit(0).alias(n) for n in names])
+    steps = events.unionByName(asked).groupBy(*keys, "pos").agg(F.max("_asked").alias("_asked"), *[F.sum(n).alias(f"_d_{n}") for n in names])
+    running = with_running(steps, sums={n: F.col(f"_d_{n}") for n in names}, keys=keys, width=width).where("_asked = 1")
+    return positions.join(running.select(*keys, "pos", *names), [*keys, "pos"])
+
+
 def coverage_from_events(intervals: DataFrame, keys: Sequence[str] = ("contig",), width: int = TILE) -> DataFrame:
     """Depth at every position where it changes, from half-open intervals: +1 at a start, -1 at an end."""
     events = intervals.select(*keys, F.explode(F.array(

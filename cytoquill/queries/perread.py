@@ -127,13 +127,10 @@ def strand_from_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "reverse_complement",
-    """SELECT doc_id, reverse(translate(regexp_replace(upper(text), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) AS rc FROM documents
-WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""",
+    "SELECT doc_id, reverse(translate(regexp_replace(text, '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', 'TGCATGCA')) AS rc FROM documents",
 )
 def reverse_complement_query(spark: SparkSession, sf: str) -> DataFrame:
-    # Only texts both engines upper-case alike (plain ASCII): the operator itself takes any text.
-    docs = derived.table(spark, sf, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
-    return docs.select("doc_id", reverse_complement(F.col("text")).alias("rc"))
+    return derived.table(spark, sf, "documents").select("doc_id", reverse_complement(F.col("text")).alias("rc"))
 
 
 _MM = """SELECT read_id, seq, CASE WHEN n > 0 THEN (CASE WHEN (strand = 'OT') <> rev THEN 'C+m,' ELSE 'G-m,' END) || skips || ';' END AS mm FROM (
