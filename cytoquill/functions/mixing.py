@@ -14,7 +14,7 @@ RANGE = 32_768
 def mix(expr: str) -> str:
     """SQL text of a value in [0, RANGE) that looks random in `expr` (an integer expression)."""
     x = f"(({expr}) % {MODULUS})"
-    return f"CAST(floor((({x}*1103515245 + {x}*{x}*40503 + 12345) % 2147483648)/65536) AS BIGINT)"
+    return f"CAST(floor((({x}*({x}*40503 + 1103515245) + 12345) % 2147483648)/65536) AS BIGINT)"
 
 
 def floor_div(expr: str, by: int) -> str:

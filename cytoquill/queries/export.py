@@ -10,6 +10,7 @@ from cytoquill.params import CallParams, error_rate
 from cytoquill.queries.columns import CALLED, called_columns
 from cytoquill.queries.derived import with_ctes
 from cytoquill.queries.registry import as_long, query
+from cytoquill.session import cut_lineage
 
 _E = error_rate()
 RECORDS = {
@@ -22,6 +23,11 @@ RECORDS = {
 }
 
 
+def written_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Main records, stored, as a reader of the file would get them."""
+    return cut_lineage(records.variant_lines(record_columns(spark, sf)))
+
+
 def record_columns(spark: SparkSession, sf: str) -> DataFrame:
     return genotype.add_hom_ref_quality(methylation.methylation(called_columns(spark, sf)))
 
@@ -37,7 +43,7 @@ def record_columns(spark: SparkSession, sf: str) -> DataFrame:
 )
 def vcf_records(spark: SparkSession, sf: str) -> DataFrame:
     """Main records as text lines, read back field by field."""
-    lines = records.variant_lines(record_columns(spark, sf))
+    lines = written_lines(spark, sf)
     strands = F.split(F.regexp_extract("info", "M5mC_Strands=([^;]*)", 1), ",")
     counts = {n: F.get(strands, F.lit(i)).cast("bigint") for i, n in enumerate(("unmod", "mod", "no_snp", "snp"))}
     return lines.select(
@@ -64,7 +70,7 @@ def vcf_all_lines(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def vcf_to_bed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = records.lines_to_bed(records.variant_lines(record_columns(spark, sf)))
+    rows = records.lines_to_bed(written_lines(spark, sf))
     return rows.select("chr", "start", F.col("end").alias("stop"), "unmod", "mod", "no_snp", "snp", "coverage", "genotype", "gt_conf_score", "strand", "cpg")
 
 
@@ -85,13 +91,13 @@ def bed_calls(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "verify_written_levels",
     with_ctes(
-        """SELECT count(*) AS n_compared, CAST(0 AS BIGINT) AS n_predictions_only, CAST(0 AS BIGINT) AS n_competitor_only, 1.0 AS pearson_r, 1.0 AS r_squared, 0.0 AS mean_abs_diff FROM methyl
+        """SELECT count(*) AS n_compared, CAST(0 AS BIGINT) AS n_predictions_only, CAST(0 AS BIGINT) AS n_competitor_only, CAST(1.0 AS DOUBLE) AS pearson_r, CAST(1.0 AS DOUBLE) AS r_squared, CAST(0.0 AS DOUBLE) AS mean_abs_diff FROM methyl
 WHERE in_cpg AND (original_beta IS NOT NULL OR denovo_beta IS NOT NULL)""",
         "covered", "verdicts", "alleles", extra=CALLED,
     ),
 )
 def verify_written_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Levels written to records compared with themselves: all found, perfectly correlated."""
-    levels = records.beta_records(records.variant_lines(record_columns(spark, sf)))
+    levels = records.beta_records(written_lines(spark, sf))
     out = verify.compare_levels(levels, levels)
     return out.withColumns({c: F.round(c, 6) for c in ("pearson_r", "r_squared", "mean_abs_diff")})
