@@ -252,3 +252,18 @@ def sequence_entropy(ref: DataFrame, radius: int = 50) -> DataFrame:
         share = F.col(f"_n{b}") / F.col("_n")
         total = total - F.when(F.col(f"_n{b}") > 0, share * F.log2(share)).otherwise(F.lit(0.0))
     return counted.withColumn("entropy", total).drop("_n", *[f"_n{b}" for b in "CTAG"])
+
+
+def with_uncovered_cpgs(cols: DataFrame, ref: DataFrame) -> DataFrame:
+    """Columns plus one empty column, depth 0, per reference CpG position no read reaches."""
+    empty = uncovered_cpgs(ref, cols).select("contig", "pos", F.col("base").alias("ref"), "before2", "before", "after", "after2")
+    kinds = {f.name: f.dataType for f in cols.schema}
+    empty = empty.withColumns(
+        {
+            "depth": F.lit(0).cast(kinds["depth"]),
+            "mapq0": F.lit(0).cast(kinds["mapq0"]),
+            "alleles": F.array().cast(kinds["alleles"]),
+            "alts": F.array().cast(kinds["alts"]),
+        }
+    )
+    return cols.unionByName(empty, allowMissingColumns=True)
