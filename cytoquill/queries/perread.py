@@ -191,3 +191,45 @@ def read_level_beta(spark: SparkSession, sf: str) -> DataFrame:
     )
     mod = F.col("base").isin("T", "A")
     return hits.groupBy("contig", "pos").agg(F.count_if(mod).alias("mod"), F.count_if(~mod).alias("unmod"))
+
+
+@query(
+    "clip_rescue",
+    with_ctes(
+        """SELECT contig, src_pos AS pos, read_id, q AS qpos, b AS base, bq AS baseq, strand FROM kept JOIN (SELECT contig AS rc, pos AS rp, base AS rb, before AS rbef, after AS raft FROM refctx) r
+  ON rc = contig AND rp = src_pos WHERE shape = 'clip' AND q = 1 AND ((rb = 'C' AND raft = 'G' AND strand = 'OT' AND b IN ('C', 'T')) OR (rb = 'G' AND rbef = 'C' AND strand = 'OB' AND b IN ('G', 'A')))""",
+        "readbase", "refctx", extra={"kept": WALKED["kept"]},
+    ),
+)
+def clip_rescue(spark: SparkSession, sf: str) -> DataFrame:
+    rescued = read_ops.clip_rescue(kept_reads(spark, sf), derived.reference_context(spark, sf))
+    return rescued.select("contig", "pos", "read_id", "qpos", "base", "baseq", "strand")
+
+
+@query(
+    "reads_per_base",
+    with_ctes(
+        """SELECT round(sum(n)/sum(length), 6) AS reads_per_base FROM (SELECT contig, count(*) AS n FROM mates WHERE (flag & 4) = 0 GROUP BY contig)
+JOIN (SELECT contig, count(*) AS length FROM refb GROUP BY contig) USING (contig)""",
+        "mates", "refb",
+    ),
+)
+def reads_per_base(spark: SparkSession, sf: str) -> DataFrame:
+    lengths = derived.reference(spark, sf).groupBy("contig").agg(F.count(F.lit(1)).alias("length"))
+    return read_ops.reads_per_covered_base(derived.reads(spark, sf), lengths).select(F.round("reads_per_base", 6).alias("reads_per_base"))
+
+
+@query(
+    "duplicate_rows",
+    with_ctes(
+        "SELECT contig, CAST(flag AS BIGINT) AS flag, CAST(mapq AS BIGINT) AS mapq, count(*) AS n_reads, count(DISTINCT qname) AS n_fragments FROM mates GROUP BY ALL",
+        "mates",
+    ),
+)
+def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads and distinct fragments by flag and quality, after every row was added twice and made unique again."""
+    reads = derived.reads(spark, sf).select("contig", "flag", "mapq", "qname", "pos", "cigar", "seq", "tlen")
+    unique = reads.unionByName(reads).dropDuplicates()
+    return unique.groupBy("contig", as_long("flag").alias("flag"), as_long("mapq").alias("mapq")).agg(
+        F.count(F.lit(1)).alias("n_reads"), F.count_distinct("qname").alias("n_fragments")
+    )
