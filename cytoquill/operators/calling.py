@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +20,16 @@ def usable_row(features: Column) -> Column:
     return F.forall(features, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def alt_filter(params: CallParams = CallParams()) -> Column:
-    """PASS or the reason an alt is rejected. Columns: depth, mapq, ref, before, after, alt (struct), score."""
+def alt_filter(params: CallParams = CallParams(), alt: Column | None = None, score: Column | None = None) -> Column:
+    """PASS or the reason an alt is rejected. Columns: depth, mapq, ref, before, after, and unless given alt and score."""
+    alt = F.col("alt") if alt is None else alt
+    score = F.col("score") if score is None else score
     side = taken_side(F.col("ref"), F.col("before"), F.col("after"))
-    too_deep = is_conversion(side, F.col("alt.base")) & (F.col("alt.depth") > params.m_max_coverage)
+    too_deep = is_conversion(side, alt["base"]) & (alt["depth"] > params.m_max_coverage)
     return (
-        F.when(~worth_scoring(F.col("depth"), F.col("mapq"), F.col("ref"), F.col("alt.base")), F.lit("pre_ml"))
+        F.when(~worth_scoring(F.col("depth"), F.col("mapq"), F.col("ref"), alt["base"]), F.lit("pre_ml"))
         .when(too_deep, F.lit("m_highDp"))
-        .when(F.col("score") >= params.ml_threshold, F.lit("PASS"))
+        .when(score >= params.ml_threshold, F.lit("PASS"))
         .otherwise(F.lit("low_ml_score"))
     )
 
@@ -51,21 +55,28 @@ def is_variant() -> Column:
     return plain | F.coalesce(F.col("has_called_indel"), F.lit(False))
 
 
-def gather_called(alts: DataFrame, cols: DataFrame) -> DataFrame:
-    """Columns with `called` (bases of PASS alts, in alt order) and `alt_calls` (all alts with their verdicts)."""
-    calls = alts.groupBy("contig", "pos").agg(
-        F.array_sort(
-            F.collect_list(F.struct("alt_rank", F.col("alt.base").alias("base"), F.col("alt_filter").alias("filter"), "score"))
-        ).alias("alt_calls")
+def call_alts(cols: DataFrame, score: Callable[[Column], Column], params: CallParams = CallParams()) -> DataFrame:
+    """Add `alt_calls` (all alts in order, with verdict and score) and `called` (bases of those that pass).
+
+    Works inside the column's own alt array, so columns are neither exploded nor joined to themselves.
+    """
+    judged = F.transform(
+        "alts",
+        lambda a, i: F.struct(
+            i.alias("alt_rank"), a.base.alias("base"), alt_filter(params, a, score(a)).alias("filter"), score(a).cast("double").alias("score")
+        ),
     )
-    joined = cols.join(calls, ["contig", "pos"], "left")
-    empty = F.array().cast("array<struct<alt_rank:int,base:string,filter:string,score:double>>")
-    joined = joined.withColumn("alt_calls", F.coalesce("alt_calls", empty))
-    return joined.withColumn(
+    return cols.withColumn("alt_calls", judged).withColumn(
         "called", F.transform(F.filter("alt_calls", lambda a: a["filter"] == "PASS"), lambda a: a.base)
     )
 
 
+def with_scores(cols: DataFrame, scores: DataFrame) -> DataFrame:
+    """Add `scores`, a map from alt base to score, from a table of (contig, pos, alt, score)."""
+    packed = scores.where("score is not null").groupBy("contig", "pos").agg(F.map_from_entries(F.collect_list(F.struct("alt", "score"))).alias("scores"))
+    return cols.join(packed, ["contig", "pos"], "left")
+
+
 def split_by_model(alts: DataFrame) -> DataFrame:
     """Add `model`: cpg for a conversion-like alt, denovo for one making a CpG with a reference neighbour, else other."""
     side = taken_side(F.col("ref"), F.col("before"), F.col("after"))

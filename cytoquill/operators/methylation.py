@@ -56,13 +56,13 @@ def side_origin(side: str) -> Column:
 def side_reads(side: str) -> tuple[Column, Column]:
     """(modified, unmodified) reads of a side: on its converting strand, next to its partner in the read."""
     field = "ot_next_g" if side == "C" else "ob_prev_c"
-    return allele_count(F.lit(SIDE_MOD[side]), field), allele_count(F.lit(SIDE_UNMOD[side]), field)
+    return allele_count(SIDE_MOD[side], field), allele_count(SIDE_UNMOD[side], field)
 
 
 def plain_reads(side: str) -> tuple[Column, Column]:
     """(no SNP, SNP) reads of a side: the strand the conversion leaves alone."""
     field = "n_ob" if side == "C" else "n_ot"
-    return allele_count(F.lit(SIDE_UNMOD[side]), field), allele_count(F.lit(SIDE_MOD[side]), field)
+    return allele_count(SIDE_UNMOD[side], field), allele_count(SIDE_MOD[side], field)
 
 
 def adjusted_level(mod: Column, unmod: Column, origin: Column, carries_ref: Column, confounded: Column) -> Column:
@@ -90,17 +90,15 @@ def methylation(cols: DataFrame) -> DataFrame:
     known_gt = gt.isNotNull()
     carries_ref = F.coalesce(~known_gt | F.array_contains(gt, F.col("ref")), F.lit(True))
     het = F.coalesce(F.get(gt, F.lit(0)) != F.get(gt, F.lit(1)), F.lit(False))
-    staged = cols
+    sides: dict[str, Column] = {}
     for side in ("C", "G"):
         mod, unmod = side_reads(side)
         plain, snp = plain_reads(side)
-        staged = staged.withColumns(
-            {
-                f"origin_{side}": side_origin(side), f"mod_{side}": mod, f"unmod_{side}": unmod,
-                f"no_snp_{side}": plain, f"snp_{side}": snp,
-            }
-        )
-    staged = staged.withColumns(
+        sides |= {
+            f"origin_{side}": side_origin(side), f"mod_{side}": mod, f"unmod_{side}": unmod,
+            f"no_snp_{side}": plain, f"snp_{side}": snp,
+        }
+    staged = cols.withColumns(sides).withColumns(
         {
             f"beta_{side}": F.when(
                 F.col(f"origin_{side}").isNotNull(),

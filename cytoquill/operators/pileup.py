@@ -183,21 +183,39 @@ def columns(counted: DataFrame, ref: DataFrame) -> DataFrame:
     )
     return joined.withColumns(
         {
-            "ref_allele": _first(F.filter("alleles", lambda a: a.base == F.col("ref"))),
+            **{f"allele_{b}": _first(F.filter("alleles", _shows(b))) for b in KNOWN},
             "alts": F.array_sort(
                 F.filter("alleles", lambda a: (a.base != F.col("ref")) & a.base.isin(*KNOWN)), order
             ),
         }
-    )
+    ).withColumn("ref_allele", by_base(F.col("ref")))
 
 
 def _first(array: Column) -> Column:
     return F.get(array, F.lit(0))
 
 
-def allele_count(base: Column, field: str) -> Column:
-    """A count of the allele showing `base`, 0 if no read does."""
-    return F.coalesce(_first(F.filter("alleles", lambda a: a.base == base))[field], F.lit(0))
+def _shows(base: str):
+    return lambda a: a.base == base
+
+
+def by_base(base: Column) -> Column:
+    """The allele struct of a base known only at run time; NULL if no read shows it."""
+    picked = F.when(base == "A", F.col("allele_A"))
+    for b in KNOWN[1:]:
+        picked = picked.when(base == b, F.col(f"allele_{b}"))
+    return picked
+
+
+def allele_count(base: Column | str, field: str) -> Column:
+    """A number of the allele showing `base`, 0 if no read does. The four alleles are columns of their own,
+    so this is a plain field access."""
+    if isinstance(base, str):
+        return F.coalesce(F.col(f"allele_{base}")[field], F.lit(0))
+    picked = F.when(base == "A", F.col("allele_A")[field])
+    for b in KNOWN[1:]:
+        picked = picked.when(base == b, F.col(f"allele_{b}")[field])
+    return F.coalesce(picked, F.lit(0))
 
 
 def alt_rows(cols: DataFrame) -> DataFrame:

@@ -34,9 +34,8 @@ def scored_alts(cols: DataFrame) -> DataFrame:
 
 def called_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Columns with calls, neighbour marks and a simple genotype from the called alts."""
-    cols = columns(spark, sf)
-    gathered = calling.gather_called(scored_alts(cols), cols)
-    marked = methylation.mark_called_neighbours(gathered)
+    share = lambda a: F.least(F.lit(1.0), 2.0 * a.depth / F.col("depth"))
+    marked = methylation.mark_called_neighbours(calling.call_alts(columns(spark, sf), share))
     best = F.get("called", F.lit(0))
     alt_depth = pileup.allele_count(best, "depth")
     ref_depth = pileup.allele_count(F.col("ref"), "depth")
