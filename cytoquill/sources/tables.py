@@ -60,7 +60,7 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^(#|track|browser|\s*$)"))
     bad = (F.size(f) < 3) | field(1).try_cast("bigint").isNull() | field(2).try_cast("bigint").isNull()
     checked = lines.withColumn("_ok", F.when(bad, F.raise_error(F.concat(F.lit("not an interval: "), "value")).cast("boolean")).otherwise(F.lit(True)))
-    return checked.where("_ok").select(field(0).alias("contig"), field(1).cast("bigint").alias("start"), field(2).cast("bigint").alias("end")).where("start < end")
+    return checked.where("_ok").select(field(0).alias("contig"), field(1).try_cast("bigint").alias("start"), field(2).try_cast("bigint").alias("end")).where("start < end")
 
 
 def parse_region(text: str) -> tuple[str, int, int | None]:
