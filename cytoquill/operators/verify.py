@@ -154,8 +154,7 @@ def difference_histogram(pairs: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFr
     diff = pairs.select(F.abs(F.col("x") - F.col("y")).alias("d"))
     # Distinct differences first: the maximum then comes with the same small table.
     counts = diff.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.agg(F.max("d").alias("max_diff"))
-    scaled = counts.join(F.broadcast(top))
+    scaled = counts.withColumn("max_diff", counts.agg(F.max("d")).scalar())
     index = F.when(F.col("max_diff") > 0, F.least(F.floor(F.col("d") / F.nullif(F.col("max_diff"), F.lit(0.0)) * bins), F.lit(bins - 1))).otherwise(0)
     return scaled.groupBy(index.cast("bigint").alias("bin"), "max_diff").agg(F.sum("n").alias("n"))
 
