@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cytoquill.functions.bases import SIDE_MOD, SIDE_UNMOD
 from cytoquill.operators import tiling
-from cytoquill.operators.pileup import allele_count
+from cytoquill.operators.pileup import allele_count, reference_cpgs
 
 
 def _in(array: Column, base: str) -> Column:
@@ -170,8 +170,6 @@ def reference_cpg_levels(counted: DataFrame, ref: DataFrame) -> DataFrame:
 
     Needs no alleles, calls or genotypes, so it prunes to the CpG positions before aggregating.
     """
-    from cytoquill.operators.pileup import reference_cpgs
-
     sites = reference_cpgs(ref).select("contig", "pos", F.col("base").alias("ref"), "side")
     hits = counted.join(sites, ["contig", "pos"])
     on_c, on_g = F.col("side") == "C", F.col("side") == "G"
