@@ -27,6 +27,7 @@ def odd_rows(seed=5):
         rows.append([i, " ".join(copy), "en", "hot"])
     rows += [[72, None, None, None], [73, "", "en", None], [74, " \t\n", "fr", "s1"], [75, words(rng, 30_000, 5_000), "en", "s2"], [76, "Z" * 70_000, "en", "s2"]]
     rows += [list(rows[3]), list(rows[3]), [None, "no id at all here", "en", "s0"], [None, rows[5][1], None, "s3"]]
+    rows += [[None, " ".join(base[:-1] + ["nobody"]), "en", "s3"]]
     rows += [[77, "ünïcødé \U0001d538 words in here, and more of them", "de", "s1"], [78, "tail words", "en", "s1"]]
     return [(*r, None if r[1] is None else len(r[1])) for r in rows]
 
