@@ -6,7 +6,7 @@ import argparse
 import sys
 
 from cytoquill.params import CallParams, EndMask, ReadFilter
-from cytoquill.session import build_session
+from cytoquill.session import build_session, cut_lineage
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -33,6 +33,11 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("-l", "--region", nargs="*", default=[])
     p.add_argument("--model")
     p.add_argument("--cascade-model")
+    p.add_argument("--untrained", action="store_true", help="without a model, score alts by their share of reads")
+    p.add_argument("--rescue-soft-clip-cpg", action="store_true")
+    p.add_argument("--m-max-coverage", type=int, default=1000)
+    p.add_argument("--min-indel-ao", type=int, default=2)
+    p.add_argument("--min-phase-quality", type=int, default=30)
     p.add_argument("--ml", type=float, default=0.4)
     p.add_argument("--min-baseq", type=int, default=10)
     p.add_argument("--max-coverage", type=int, default=1000)
@@ -67,6 +72,9 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--regions")
     p.add_argument("-o", "--output", required=True)
     p.add_argument("--trees", type=int, default=800)
+    p.add_argument("--more-reads", nargs="*", default=[], help="further read sets over the same truth")
+    p.add_argument("--first-model", help="train the second stage on what these models let through")
+    p.add_argument("--features-out", help="folder for the feature rows, one table per model")
     p = job("verify", reads=False)
     p.add_argument("predictions")
     p.add_argument("--truth")
@@ -78,7 +86,7 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = build_session()
-    from cytoquill.operators import forest, perread, records
+    from cytoquill.operators import features, forest, perread, records, verify
     from cytoquill.operators.reads import parse_tag_requirement
     from cytoquill.plans import jobs
     from cytoquill.sources import alignments, fasta, sinks, tables
@@ -89,13 +97,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.job == "call":
         vcf, bed = args.vcf, args.bed
         if args.output:
-            bed, vcf = (args.output, vcf) if ".bed" in args.output else (bed, args.output)
+            bed, vcf = (args.output, vcf) if is_bed(args.output) else (bed, args.output)
         params = CallParams(
             reads=keep, mask=EndMask(EndMask.parse(args.nOT), EndMask.parse(args.nOB)), min_baseq=args.min_baseq, max_coverage=args.max_coverage, ml_threshold=args.ml,
-            error_model=args.error_model, all_positions=args.all, cpgs_only=args.cpgs_only,
+            error_model=args.error_model, all_positions=args.all, cpgs_only=args.cpgs_only, rescue_clips=args.rescue_soft_clip_cpg,
+            m_max_coverage=args.m_max_coverage, min_indel_reads=args.min_indel_ao, min_switch_quality=args.min_phase_quality,
         )
         region = tables.regions(spark, args.region, jobs.contigs_of(ref)) if args.region else None
-        jobs.run_call(spark, reads, ref, params, vcf, bed, args.model, args.cascade_model, region=region, keep_overlaps=args.keep_overlapping_reads, guess_orientation=args.guess_read_orientation)
+        jobs.run_call(spark, reads, ref, params, vcf, bed, args.model, args.cascade_model, region=region, keep_overlaps=args.keep_overlapping_reads, guess_orientation=args.guess_read_orientation, untrained=args.untrained)
     elif args.job == "per-read":
         limited = ReadFilter(keep.include_flags, keep.exclude_flags, keep.unpaired, keep.min_mapq, keep.require_tags, args.max_read_length)
         rows = jobs.per_read(
@@ -109,27 +118,46 @@ def main(argv: list[str] | None = None) -> int:
     elif args.job == "convert":
         lines = tables.read_vcf(spark, args.input)
         contigs = tables.vcf_contigs(spark, args.input)
-        if ".bed" in args.output:
+        if is_bed(args.output):
             sinks.write_bed(records.lines_to_bed(lines, args.include_empty), args.output, contigs)
         else:
             sinks.write_lines(spark.read.text(args.input).withColumn("rank", sinks_rank(contigs)).where("value not like '#%'"), tables_header(spark, args.input), args.output, ["rank", "value"])
     elif args.job == "mbias":
         ref = fasta.read_reference(spark, args.reference) if args.reference else None
-        jobs.write_report(jobs.quality_tables(tables.read_per_read(spark, args.per_read), ref, strict=args.strict), args.output)
+        report = jobs.quality_tables(tables.read_per_read(spark, args.per_read), ref, strict=args.strict)
+        jobs.write_report(report, args.output)
+        jobs.write_cutoffs(report["cutoff_lines"], f"{args.output}/cutoffs_by_contig")
     elif args.job == "train":
         confident = tables.read_intervals(spark, args.regions) if args.regions else None
         truth = records.variant_keys(tables.read_vcf(spark, args.truth))
-        models = jobs.train([reads], ref, truth, CallParams(reads=keep), forest.TrainParams(trees=args.trees), confident)
+        samples, params = [reads, *(alignments.read_alignments(spark, path) for path in args.more_reads)], CallParams(reads=keep)
+        if args.first_model:
+            rows = jobs.cascade_features(samples, ref, forest.load(spark, args.first_model), params, confident)
+        else:
+            rows = jobs.training_features(samples, ref, params, confident)
+        rows = cut_lineage(rows)
+        if args.features_out:
+            labelled = verify.label_candidates(rows, truth)
+            for name in forest.MODELS:
+                forest.export_features(features.model_rows(labelled, name, ("label",)), name, f"{args.features_out}/{name}")
+        models = forest.train_rows(rows, truth, forest.TrainParams(trees=args.trees))
         forest.save(models, args.output)
+        forest.importances(models, spark).write.mode("overwrite").json(f"{args.output}/importances")
     elif args.job == "verify":
         load = lambda p: tables.read_vcf(spark, p) if p else None
         report = jobs.verify_report(load(args.predictions), load(args.truth), load(args.competitor))
         print(jobs.report_markdown(report))
         if args.output:
             jobs.write_report(report, args.output)
+            spark.createDataFrame([(jobs.report_html(report),)], "value string").coalesce(1).write.mode("overwrite").text(f"{args.output}/html")
     return 0
 
 
+def is_bed(path: str) -> bool:
+    """Whether a path is named as a BED table."""
+    return path.rstrip("/").lower().endswith((".bed", ".bed.gz"))
+
+
 def sinks_rank(contigs: list[tuple[str, int]]):
     from pyspark.sql import functions as F
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # What the conversion does on each side of a CpG. The C side is read on the OT strand
 # next to a following G; the G side on OB next to a preceding C.
-SIDE_STRAND = {"C": "OT", "G": "OB"}
 SIDE_UNMOD = {"C": "C", "G": "G"}
 SIDE_MOD = {"C": "T", "G": "A"}
 SIDE_PARTNER = {"C": "G", "G": "C"}

@@ -1,8 +1,9 @@
-"""Numbers: RMS, Phred, log sums, exact confidence limits."""
+"""Numbers: RMS, safe division, exact confidence limits."""
 
 from __future__ import annotations
 
 from math import lgamma
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -16,22 +17,21 @@ def rms(value: Column) -> Column:
     return F.sqrt(F.avg(v * v))
 
 
-def phred(probability: Column) -> Column:
-    return F.when(probability <= 0, F.lit(None).cast("double")).otherwise(-10.0 * F.log10(probability))
-
-
 def safe_div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
 
 
-def log10_sum(values: list[Column]) -> Column:
-    """log10 of the sum of powers of ten, stable for very negative inputs."""
-    top = F.greatest(*values) if len(values) > 1 else values[0]
-    total = None
-    for v in values:
-        term = F.pow(F.lit(10.0), v - top)
-        total = term if total is None else total + term
-    return top + F.log10(total)
+#: Steps after which a series counts as not converging.
+MOST_STEPS = 1_000_000
+#: From this shape on, gamma quantiles come from their expansion around the normal ones.
+LARGE_SHAPE = 10_000.0
+
+
+def gamma_quantile_large(p: float, shape: np.ndarray) -> np.ndarray:
+    """Quantile of a gamma variable of large shape (Cornish-Fisher expansion; the next term is below 1e-6)."""
+    z = NormalDist().inv_cdf(p)
+    root = np.sqrt(shape)
+    return shape + z * root + (z * z - 1) / 3 + (z**3 - 7 * z) / (36 * root) - (3 * z**4 + 7 * z * z - 16) / (810 * shape)
 
 
 def _beta_continued_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -40,7 +40,7 @@ def _beta_continued_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 400):
+    for m in range(1, MOST_STEPS):
         m2 = 2 * m
         for num in (m * (b - m) * x / ((a - 1 + m2) * (a + m2)), -(a + m) * (a + b + m) * x / ((a + m2) * (a + 1 + m2))):
             d = 1.0 + num * d
@@ -50,8 +50,8 @@ def _beta_continued_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.
             step = d * c
             h *= step
         if np.all(np.abs(step - 1.0) < 1e-14):
-            break
-    return h
+            return h
+    raise ArithmeticError("the continued fraction of the beta function did not converge")
 
 
 _lgamma = np.vectorize(lgamma, otypes=[float])
@@ -78,18 +78,20 @@ def gamma_cdf(x: np.ndarray, shape: np.ndarray) -> np.ndarray:
     term = 1.0 / a
     series = term.copy()
     n = a.copy()
-    for _ in range(2000):
+    for _ in range(MOST_STEPS):
         n = n + 1
         term = term * safe / n
         series = series + term
         if np.all((np.abs(term) < np.abs(series) * 1e-15) | (safe >= a + 1)):
             break
+    else:
+        raise ArithmeticError("the series of the gamma function did not converge")
     tiny = 1e-300
     b = safe + 1 - a
     c = np.full_like(b, 1 / tiny)
     d = 1 / np.where(np.abs(b) < tiny, tiny, b)
     h = d.copy()
-    for i in range(1, 2000):
+    for i in range(1, MOST_STEPS):
         an = -i * (i - a)
         b = b + 2
         d = an * d + b
@@ -99,6 +101,8 @@ def gamma_cdf(x: np.ndarray, shape: np.ndarray) -> np.ndarray:
         h = h * d * c
         if np.all((np.abs(d * c - 1) < 1e-14) | (safe < a + 1)):
             break
+    else:
+        raise ArithmeticError("the continued fraction of the gamma function did not converge")
     return np.where(x <= 0, 0.0, np.where(safe < a + 1, front * series, 1 - front * h))
 
 
@@ -123,12 +127,17 @@ def binomial_limits(hits: np.ndarray, trials: np.ndarray, level: float) -> tuple
 
 def poisson_limits(count: np.ndarray, level: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
     """Exact limits of a Poisson mean."""
-    k = np.asarray(count, float)
+    every = np.asarray(count, float)
+    large = every >= LARGE_SHAPE
+    k = np.where(large, 0.0, every)
     tail = np.full(k.shape, (1 - level) / 2)
     top = (k + 10) * 3 + 10 * np.sqrt(k + 1)
     lower = _bisect(lambda m: gamma_cdf(m, np.maximum(k, 1)), tail, np.zeros_like(k), top)
     upper = _bisect(lambda m: gamma_cdf(m, k + 1), 1 - tail, np.zeros_like(k), top)
-    return np.where(k <= 0, 0.0, lower), upper
+    lower = np.where(k <= 0, 0.0, lower)
+    safe = np.where(large, every, LARGE_SHAPE)
+    outer = (1 - level) / 2
+    return np.where(large, gamma_quantile_large(outer, safe), lower), np.where(large, gamma_quantile_large(1 - outer, safe + 1), upper)
 
 
 def binomial_upper_tail(hits: np.ndarray, trials: np.ndarray, rate: float) -> np.ndarray:

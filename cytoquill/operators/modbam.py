@@ -73,7 +73,7 @@ def bisulfite_style_tags(reads: DataFrame, calls: DataFrame, ref: DataFrame) ->
     around = cytosine_context(F.col("strand"), F.col("before2"), F.col("before"), F.col("after"), F.col("after2"))
     context = F.when(F.col("call") == "denovo", around).otherwise(F.lit("CG"))
     letters = bases.withColumn("_l", xm_letter(context, F.col("methylated")))
-    gathered = letters.groupBy("read_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("qpos").cast("int"), "_l"))).alias("_xm"))
+    gathered = letters.groupBy("read_id").agg(F.map_from_entries(F.collect_set(F.struct(F.col("qpos").cast("int"), "_l"))).alias("_xm"))
     joined = reads.join(gathered, "read_id", "left")
     letter = lambda b, i: F.coalesce(F.try_element_at("_xm", i), F.lit("."))
     return joined.withColumns(

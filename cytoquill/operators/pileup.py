@@ -18,6 +18,9 @@ from cytoquill.params import CallParams, EndMask, ReadFilter
 
 POSITION = ["contig", "pos"]
 READ_ORDER = ["read_start", "read_id", "tie"]
+#: Up to this many rows Spark limits a window before its shuffle; larger caps are ranked in two steps.
+ONE_STEP_CAP = 1000
+CAP_SALTS = 64
 
 
 def filter_reads(df: DataFrame, keep: ReadFilter) -> DataFrame:
@@ -31,6 +34,11 @@ def filter_reads(df: DataFrame, keep: ReadFilter) -> DataFrame:
 def cap_depth(obs: DataFrame, max_coverage: int) -> DataFrame:
     """Keep the earliest-starting reads of every position (0 keeps all) and number them in `read_rank`."""
     order = Window.partitionBy(*POSITION).orderBy(*READ_ORDER)
+    if max_coverage > ONE_STEP_CAP:
+        # A position is ranked within shares of its reads first, so that no task sees all of a deep one.
+        salted = obs.withColumn("_salt", F.pmod(F.xxhash64("read_id", "tie"), F.lit(CAP_SALTS)))
+        share = Window.partitionBy(*POSITION, "_salt").orderBy(*READ_ORDER)
+        obs = salted.withColumn("_k", F.row_number().over(share)).where(F.col("_k") <= max_coverage).drop("_salt", "_k")
     ranked = obs.withColumn("read_rank", F.row_number().over(order))
     return ranked.where(F.col("read_rank") <= max_coverage) if max_coverage else ranked
 

@@ -133,7 +133,7 @@ def observations(reads: DataFrame) -> DataFrame:
     """Aligned bases in the layout the column operators expect. `reads` carries qname and strand."""
     return walk(reads, ("qname",)).withColumns(
         {
-            "frag": F.col("qname"),
+            "frag": fragment(),
             "is_second": F.when(has_bits(F.col("flag"), 128), 1).otherwise(0).cast("bigint"),
             "tie": F.lit(0).cast("bigint"),
             "rescued": F.lit(False),
@@ -171,7 +171,7 @@ def clip_rescue(reads: DataFrame, ref: DataFrame) -> DataFrame:
         F.expr("CASE WHEN _f.q > 0 THEN substr(seq, cast(_f.q as int), 1) END").alias("prev_base"),
         F.expr("CASE WHEN _f.q + 1 < read_len THEN substr(seq, cast(_f.q + 2 as int), 1) END").alias("next_base"),
         F.expr("get(qual, cast(_f.q as int))").cast("bigint").alias("baseq"),
-        F.col("qname").alias("frag"),
+        fragment().alias("frag"),
         F.when(has_bits(F.col("flag"), 128), 1).otherwise(0).cast("bigint").alias("is_second"),
         F.lit(0).cast("bigint").alias("tie"),
         F.lit(True).alias("rescued"),
@@ -182,6 +182,11 @@ def clip_rescue(reads: DataFrame, ref: DataFrame) -> DataFrame:
     ).drop("_ref")
 
 
+def fragment() -> Column:
+    """What mates share. A read without a name has no mate, so it is a fragment of its own."""
+    return F.coalesce("qname", F.concat(F.lit("\u0001"), F.col("read_id").cast("string")))
+
+
 def indel_observations(reads: DataFrame) -> DataFrame:
     """One row per insertion or deletion of a read, anchored on the base before it.
 
@@ -201,6 +206,9 @@ def indel_observations(reads: DataFrame) -> DataFrame:
         (F.col("_at.r") - 1).alias("pos"),
         "read_id",
         "qname",
+        fragment().alias("frag"),
+        F.col("pos").alias("read_start"),
+        has_bits(F.col("flag"), 128).alias("is_second"),
         "flag",
         F.when(F.col("_at.op") == "I", F.lit("ins")).otherwise(F.lit("del")).alias("kind"),
         F.col("_at.len").alias("indel_len"),

@@ -31,21 +31,18 @@ def row_key(seed: int, *columns: str) -> Column:
 
 
 def holdout_shape(seen_pos: int, seen_neg: int, left_pos: int, left_neg: int, most: int = 100_000) -> tuple[int, int]:
-    """How many positives and negatives to hold out: the population's ratio, within what is left."""
-    if left_pos == 0 and left_neg == 0:
-        return 0, 0
-    total = seen_pos + seen_neg
-    size = min(most, left_pos + left_neg)
-    if total == 0:
-        pos = round(size * left_pos / (left_pos + left_neg))
-        return min(pos, left_pos), min(size - pos, left_neg)
-    share = seen_pos / total
-    if share > 0:
-        size = min(size, int(left_pos / share))
-    if share < 1:
-        size = min(size, int(left_neg / (1 - share)))
-    pos = round(size * share)
-    neg = size - pos
-    if pos + neg == 0:
-        return min(left_pos, most), min(left_neg, max(most - left_pos, 0))
-    return min(max(pos, 1), left_pos), min(max(neg, 1), left_neg)
+    """How many positives and negatives to hold out of those left, as close as possible to the ratio of those seen.
+
+    The size is the largest that neither class runs out at. A class that is left at all gives at least one row; with
+    nothing seen, the ratio of those left is kept.
+    """
+    seen = (seen_pos, seen_neg) if seen_pos + seen_neg else (left_pos, left_neg)
+    left = (left_pos, left_neg)
+    whole = sum(seen)
+    size = min([most, sum(left), *(n * whole // k for n, k in zip(left, seen) if k)])
+    shares = [min(n, max(size * k // whole if whole else 0, min(n, 1))) for n, k in zip(left, seen)]
+    spare = size - sum(shares)
+    if spare > 0:
+        short = max(range(2), key=lambda i: (size * seen[i] % whole, -i))
+        shares[short] = min(left[short], shares[short] + spare)
+    return shares[0], shares[1]

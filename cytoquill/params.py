@@ -87,6 +87,7 @@ class CallParams:
     informative_margin: float = 0.2
     min_switch_quality: int = 30
     phase_window: int = 100_000
+    rescue_clips: bool = False
     all_positions: bool = False
     cpgs_only: bool = False
 

@@ -164,12 +164,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that arrives in fewer pieces than there are cores; else leave it alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 _PREPARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -213,13 +207,13 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @prepared
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per read base over a position."""
-    raw = _project(spread(table(spark, sf_dir, "lineitem").select(*LINEITEM)), OBS_RAW)
+    raw = _project(table(spark, sf_dir, "lineitem").select(*LINEITEM), OBS_RAW)
     placed = raw.join(_near(spark, sf_dir), ["contig", "pos"])
     return _project(placed.withColumn("template", F.expr(OBS_TEMPLATE)), OBS_FINAL)
 
 
 def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fragments = _project(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")), FRAGMENT)
+    fragments = _project(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), FRAGMENT)
     both = fragments.withColumn("mate", F.explode(F.expr("sequence(0L, 1L)")))
     shaped = _project(both, MATE)
     return shaped.withColumns({name: F.expr(text) for name, text in SHAPE.items()})
@@ -285,8 +279,7 @@ INTERVALS = {
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-open intervals, some empty, some touching or overlapping."""
-    picked = table(spark, sf_dir, "customer").where(F.expr(f"{mix('c_custkey*11')} % 3 = 0"))
-    return _project(picked, INTERVALS)
+    return _project(table(spark, sf_dir, "customer"), INTERVALS)
 
 
 # --- the same tables for the oracle ---------------------------------------------------------------------
@@ -341,7 +334,7 @@ CTES = {
   FROM spelled0 s LEFT JOIN near n ON s.contig = n.contig AND s.src_pos = n.pos""",
     "readbase": f"SELECT *, {READ_BASE} AS b, {READ_QUAL} AS bq, {ALIGNED} AS aligned FROM spelled",
     "variants": _sql(VARIANTS, "part"),
-    "intervals": _sql(INTERVALS, "customer") + f" WHERE {mix('c_custkey*11')} % 3 = 0",
+    "intervals": _sql(INTERVALS, "customer"),
 }
 _NEEDS = {
     "refctx": ["refb"],

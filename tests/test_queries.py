@@ -8,9 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from cytoquill import queries as own
 
 SF = "/root/testdata/sf0.001"
-ORACLES = driver.oracle_sql()
+own.load_all()
+ORACLES = own.ORACLES
 
 
 @pytest.fixture(scope="module")
