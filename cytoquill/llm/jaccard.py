@@ -9,8 +9,8 @@ fragment and summed.
 
 Documents with equal sets are one class and only classes are joined. Links are wanted as components, so a segment that
 many classes share is never expanded into all pairs: its members first meet one of them (the hub), and after
-components are formed only those outside the segment's main component meet the others. No pair that could connect two
-components stays unchecked.
+components are formed only those outside the segment's main component meet the others, in a large segment by blocks
+whose products only give out pairs that may qualify. No pair that could connect two components stays unchecked.
 
 Defined results: NULL, empty and wordless texts have an empty set and are linked with nothing (their component is
 their own doc_id); a text of fewer words than n is one n-gram, its whole sequence; repeated rows are separate rows of
@@ -26,17 +26,24 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cytoquill.llm.components import components
 from cytoquill.llm.hashing import mix, shingle_hashes, word_hashes
-from cytoquill.llm.tables import columns, cut_lineage
+from cytoquill.llm.tables import columns, cut_lineage, maybe_broadcast
 
 #: Sizes of sets are grouped into ranges, each so many times as wide as the one before; at least 1 / threshold.
-RANGE = Fraction(17, 10)
+RANGE = Fraction(14, 10)
 #: Fragments in which the overlap of a candidate pair is counted.
 FRAGMENTS = 8
+#: Sets of at most this size have outlines (counts of a fragment stay below 256).
+OUTLINED = 20_000
+#: In segments of at most so many classes, pairs of different components are joined as rows; beyond, in blocks.
+SMALL_SEGMENT = 32
+#: Classes of a block.
+CLASS_BLOCK = 512
 #: Segments per task of the candidate search.
 SEGMENTS_PER_TASK = 2_000_000
 
@@ -57,15 +64,15 @@ class Sizes:
 
         Sets x and y with 100 |x & y| >= p |x | y| differ in at most (100 - p) / (100 + p) * (|x| + |y|) n-grams.
         In a range that ends at u, with the larger set at most 100 u / p, that is at most d = (100 - p) u / p.
-        Every difference spoils one fragment, so of the first d + 1 segments of x that hold anything one is equal in y, and
-        it is among the first d + 1 of y too.
+        Every difference spoils one fragment. In any order of segments that both sides know, here the largest first, one of
+        the first d + 1 segments of x that hold anything is therefore equal in y, and among the first d + 1 of y too.
         """
         own = int(np.searchsorted(self.ends, size))
         out = []
         for r in (own, own - 1):
             if r >= 0 and 100 * int(self.ends[r]) >= self.percent * size:
                 give = (100 - self.percent) * int(self.ends[r]) // self.percent + 1
-                out.append((r, give * 7 // 5 + 2, give))
+                out.append((r, 2 * give + 1, give))
         return out
 
 
@@ -97,23 +104,47 @@ def segments(grams: np.ndarray, sizes: Sizes) -> list[np.ndarray]:
         ends = np.append(starts[1:], len(grams))
         name = at[starts].astype(np.uint64) + np.uint64((r + 1) << 44)
         found = mix((sums[ends] - sums[starts]) ^ mix(name)) + (ends - starts).astype(np.uint64)
-        out.append(found[:give])
+        out.append(found[np.argsort(starts - ends, kind="stable")[:give]])
         if len(found) < give:
             out.append(mix(grams ^ np.uint64((r + 1) << 44 | 1 << 43)))
     return out
 
 
+def outline(grams: np.ndarray) -> bytes:
+    """How many n-grams lie in each of 256 equal fragments of the order; for sets too large for that, nothing."""
+    if len(grams) > OUTLINED:
+        return b""
+    return np.minimum(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def document_classes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, class (0: no words), one row per row. Stored."""
+    """doc_id, n_shingles, class (0: no words), outline; one row per row. Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(g), class_of(g)) for g in gram_sets(batch.column("text").to_pylist(), n)]
+            found = [(len(g), class_of(g), outline(g)) for g in gram_sets(batch.column("text").to_pylist(), n)]
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n_shingles": pa.array([x[0] for x in found], pa.int64()), "class": pa.array([x[1] for x in found], pa.int64())}
+                {
+                    "doc_id": batch.column("doc_id"),
+                    "n_shingles": pa.array([x[0] for x in found], pa.int64()),
+                    "class": pa.array([x[1] for x in found], pa.int64()),
+                    "outline": pa.array([x[2] for x in found], pa.binary()),
+                }
             )
 
-    return cut_lineage(columns(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint"))
+    return cut_lineage(columns(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint, outline binary"))
+
+
+@F.pandas_udf(T.LongType())
+def most_common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """An upper bound of the overlap of two sets: the smaller count of each fragment, summed. None known: a large number."""
+    out = np.full(len(a), 1 << 62, np.int64)
+    both = np.flatnonzero([len(x) == 256 and len(y) == 256 for x, y in zip(a, b, strict=True)])
+    for at in range(0, len(both), 4096):
+        rows = both[at : at + 4096]
+        x, y = (np.frombuffer(b"".join(s.iloc[rows]), np.uint8).reshape(-1, 256) for s in (a, b))
+        out[rows] = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    return pd.Series(out)
 
 
 def shared_segments(docs: DataFrame, n: int, percent: int, total: int) -> DataFrame:
@@ -170,8 +201,11 @@ def shared_segments(docs: DataFrame, n: int, percent: int, total: int) -> DataFr
     return cut_lineage(dealt.mapInArrow(shared, "segment bigint, class bigint"))
 
 
-def fragment_sets(docs: DataFrame, keep: DataFrame, n: int, fragments: int = FRAGMENTS) -> DataFrame:
-    """(class, fragment, grams) of one document for each class in `keep` (doc_id, class)."""
+def fragment_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int, fragments: int = FRAGMENTS) -> DataFrame:
+    """(class, fragment, grams) of the wanted classes, from one document of each. Stored.
+
+    Documents are found by doc_id, and those without one by their set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([i << (64 - fragments.bit_length() + 1) for i in range(1, fragments)], np.uint64)
@@ -180,14 +214,20 @@ def fragment_sets(docs: DataFrame, keep: DataFrame, n: int, fragments: int = FRA
             for at in range(0, batch.num_rows, 64):
                 rows: list[tuple[int, int, np.ndarray]] = []
                 for own, grams in zip(owners[at : at + 64], gram_sets(batch.column("text").slice(at, 64).to_pylist(), n), strict=True):
-                    if class_of(grams) == own:
-                        rows += [(own, f, part.view(np.int64)) for f, part in enumerate(np.split(grams, np.searchsorted(grams, edges)))]
+                    found = class_of(grams)
+                    if own is None and found or own == found:
+                        rows += [(found, f, part.view(np.int64)) for f, part in enumerate(np.split(grams, np.searchsorted(grams, edges)))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["class", "fragment", "grams"]
                 )
 
-    picked = columns(docs, doc_id="bigint", text="string").join(keep, "doc_id").select("class", "text")
-    return picked.mapInArrow(run, "class bigint, fragment int, grams array<bigint>").dropDuplicates(["class", "fragment"])
+    chosen = classes.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    text = columns(docs, doc_id="bigint", text="string")
+    picked = text.join(maybe_broadcast(cut_lineage(chosen.where("doc_id IS NOT NULL"))), "doc_id").select("class", "text")
+    kind = "class bigint, fragment int, grams array<bigint>"
+    unnamed = text.where("doc_id IS NULL").select(F.lit(None).cast("bigint").alias("class"), "text").mapInArrow(run, kind)
+    unnamed = unnamed.join(chosen.where("doc_id IS NULL"), "class", "left_semi")
+    return cut_lineage(picked.mapInArrow(run, kind).unionAll(unnamed).dropDuplicates(["class", "fragment"]))
 
 
 def count_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,24 +243,65 @@ def count_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
 
 
+def _close_in_blocks(mixed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in segments that many classes share, ruled by size and outline.
+
+    The members outside the main component and all members are cut into blocks, and each pair of blocks is one matrix
+    product over outlines; only pairs that may reach the threshold leave it.
+    """
+    thermometer = lambda x, t: (x >= t).astype(np.float32)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        x, y = block[block["guest"]], block[~block["guest"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        size_x, size_y = x["size"].to_numpy()[:, None], y["size"].to_numpy()[None, :]
+        common = np.minimum(size_x, size_y)
+        outlined = [np.array([len(o) == 256 for o in side["outline"]]) for side in (x, y)]
+        u, v = (np.frombuffer(b"".join(side["outline"][known]), np.uint8).reshape(-1, 256) for side, known in zip((x, y), outlined, strict=True))
+        if len(u) and len(v):
+            bound = np.zeros((len(u), len(v)), np.float32)
+            for t in range(1, int(min(u.max(), v.max())) + 1):
+                bound += thermometer(u, t) @ thermometer(v, t).T
+            at = np.ix_(*outlined)
+            common[at] = np.minimum(common[at], np.rint(bound).astype(np.int64))
+        may = 100 * common >= percent * (size_x + size_y - common)
+        may &= x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
+        i, j = np.nonzero(may)
+        left, right = x["class"].to_numpy()[i], y["class"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+
+    rows = mixed.join(members.select("class", "size", "outline"), "class").withColumn("blocks", F.ceil(F.col("held_classes") / CLASS_BLOCK))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    mine = F.pmod(F.col("class"), F.col("blocks"))
+    values = ["class", "component", "size", "outline"]
+    guests = rows.where("component <> main").select("segment", mine.alias("i"), every.alias("j"), *values, F.lit(True).alias("guest"))
+    homes = rows.select("segment", every.alias("i"), mine.alias("j"), *values, F.lit(False).alias("guest"))
+    return guests.unionAll(homes).groupBy("segment", "i", "j").applyInPandas(run, "a bigint, b bigint")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Components of classes under direct links: (class, component), only classes that have a link. Stored."""
     spark = docs.sparkSession
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     shared = shared_segments(docs, n, percent, 2 * total * (100 - percent) // percent)
-    members = classes.where("class <> 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
+    members = classes.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("outline").alias("outline"))
     members = cut_lineage(members.join(shared.select("class").distinct(), "class", "left_semi"))
-    sets = None
+
+    def side(name: str) -> DataFrame:
+        return members.select(F.col("class").alias(name), F.col("size").alias(f"size_{name}"), F.col("outline").alias(f"outline_{name}"))
+
+    def enough(common: Column) -> Column:
+        return 100 * common >= percent * (F.col("size_a") + F.col("size_b") - common)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        nonlocal sets
-        size = members.select("class", "size")
-        sized = pairs.join(size.select(F.col("class").alias("a"), F.col("size").alias("size_a")), "a").join(size.select(F.col("class").alias("b"), F.col("size").alias("size_b")), "b")
-        close = cut_lineage(sized.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent))
-        if sets is None:
-            sets = cut_lineage(fragment_sets(docs, members.select("doc_id", "class"), n))
+        """The pairs that reach the threshold. Sizes and outlines rule most others out before whole sets are moved."""
+        sized = pairs.join(side("a"), "a").join(side("b"), "b")
+        close = cut_lineage(sized.where(enough(F.least("size_a", "size_b"))).where(enough(F.least(most_common("outline_a", "outline_b"), "size_a", "size_b"))).select("a", "b", "size_a", "size_b"))
+        wanted = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        sets = fragment_sets(docs, classes, wanted, n)
         joined = count_overlaps(close.select("a", "b"), sets).join(close, ["a", "b"])
-        return cut_lineage(joined.where(100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))).select("a", "b"))
+        return cut_lineage(joined.where(enough(F.col("common"))).select("a", "b"))
 
     # First round: every class meets the smallest class of each segment it shares.
     hubs = shared.groupBy("segment").agg(F.min("class").alias("hub"))
@@ -232,12 +313,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> D
     # Then: whatever is outside a segment's main component meets all classes of the segment in other components.
     placed = shared.join(found.select(F.col("vertex").alias("class"), "component"), "class", "left").select("segment", "class", F.coalesce("component", "class").alias("component"))
     per = placed.groupBy("segment", "component").agg(F.count(F.lit(1)).alias("held"))
-    main = per.groupBy("segment").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    mixed = cut_lineage(placed.join(main, "segment"))
-    outside = mixed.where("component <> main").select("segment", F.col("class").alias("x"), F.col("component").alias("cx"))
-    inside = mixed.select("segment", F.col("class").alias("y"), F.col("component").alias("cy"))
-    rest = outside.join(inside, "segment").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = cut_lineage(rest.join(tried, ["a", "b"], "left_anti"))
+    main = per.groupBy("segment").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.sum("held").alias("held_classes"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    mixed = cut_lineage(placed.join(main, "segment").select("segment", "class", "component", "main", "held_classes"))
+    few = mixed.where(F.col("held_classes") <= SMALL_SEGMENT)
+    outside = few.where("component <> main").select("segment", F.col("class").alias("x"), F.col("component").alias("cx"))
+    inside = few.select("segment", F.col("class").alias("y"), F.col("component").alias("cy"))
+    rest = outside.join(inside, "segment").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    many = _close_in_blocks(mixed.where(F.col("held_classes") > SMALL_SEGMENT), members, percent)
+    rest = cut_lineage(rest.unionAll(many).distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionAll(verified(rest))
         found = components(links)

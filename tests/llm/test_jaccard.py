@@ -61,7 +61,10 @@ def graded_rows(seed):
 
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
 @pytest.mark.parametrize("kind", ["odd", 1, 2])
-def test_components_equal_all_pairs(spark, n, percent, kind):
+def test_components_equal_all_pairs(spark, n, percent, kind, monkeypatch):
+    if kind == 2:  # every segment counts as a large one
+        monkeypatch.setattr(jaccard, "SMALL_SEGMENT", 1)
+        monkeypatch.setattr(jaccard, "CLASS_BLOCK", 3)
     rows = odd_rows() if kind == "odd" else graded_rows(kind)
     found = jaccard.jaccard_components(odd_docs(spark, rows), n, percent).collect()
     assert sorted((tuple(r) for r in found), key=repr) == plain_components(rows, n, percent)
