@@ -34,15 +34,30 @@ SAMPLE = 20_000
 #: Entries of the lexicon, at most.
 LEXICON = 2_000
 #: An entry occurs in at least this share of the toxic sample and this many of its documents, ...
-LEAST_SHARE, LEAST_DOCUMENTS = 0.005, 3
+LEAST_SHARE, LEAST_DOCUMENTS = 0.01, 3
 #: ... and its share there is at least this many times that in the clean sample.
-LEAST_LIFT = 20.0
+LEAST_LIFT = 50.0
+#: A longer term that this share of a beginning's documents hold stands in for it.
+SAME_TERM = 0.9
+#: Entries that each toxic document of the sample should hold, where it can.
+COVER = 4
+#: A further entry must be needed by this share of the toxic sample.
+LEAST_GAIN = 0.02
 #: Lengths of word beginnings that may become entries.
 STEMS = range(4, 8)
 #: Words on either side that make the context of a hit.
 WINDOW = 6
 THRESHOLD = 0.7
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of text whose words are tested together.
+GROUP = 1 << 20
+#: A bit for each letter; bytes of other scripts share the rest, and those of general punctuation have one of their own.
+_BITS = np.zeros(256, np.uint64)
+_BITS[97:123] = np.uint64(1) << np.arange(26, dtype=np.uint64)
+_BITS[128:] = np.uint64(1) << (np.arange(128, 256, dtype=np.uint64) % np.uint64(37) + np.uint64(26))
+_MARKS = np.uint64(1) << np.uint64(63)
+_BITS[0xE2] |= _MARKS
+_BITS[0xC2] |= _MARKS
 _QUOTES = "\"“”„«»‹›"
 
 
@@ -59,7 +74,7 @@ class Lexicon:
         self.root: dict = {}
         self.exact: dict[str, int] = {}
         self.stems: dict[str, int] = {}
-        self.parts: dict[tuple[int, int, int], set[str]] = {}
+        parts: set[str] = set()
         self.known: dict[str, tuple[int, bool] | None] = {}
         for i, (text, stem, _) in enumerate(entries):
             node = self.root
@@ -67,15 +82,27 @@ class Lexicon:
                 node = node.setdefault(letter, {})
             node.setdefault("", []).append(i)
             (self.stems if stem else self.exact)[text] = i
-            # One of d + 1 parts of an entry stands unchanged, at most d places off, in any word within d edits.
+            # One of d + 1 parts of an entry stands unchanged in any word within d edits.
             d = edits_allowed(text, stem)
             cuts = [len(text) * j // (d + 1) for j in range(d + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False) if d else ():
-                self.parts.setdefault((a, b - a, d), set()).add(text[a:b])
+                parts.add(text[a:b])
+        self.parts = sorted(parts)
         self.stem_lengths = sorted({len(s) for s in self.stems})
+        self.shapes = []
+        for text, stem, _ in entries:
+            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            d = edits_allowed(text, stem)
+            # An edit takes away one character: one bit, or one for each byte of a letter of several.
+            wide = sorted((len(c.encode("utf-8", "surrogatepass")) for c in text), reverse=True)
+            lack = sum(wide[:d])
+            self.shapes.append((np.bitwise_or.reduce(_BITS[data]), lack, len(text) - d, None if stem else len(data) + 4 * d))
+
+    def match(self, token: str, misspelled: bool = True) -> tuple[int, bool] | None:
+        """The entry that a token of a text hits, and whether it is spelled as such.
 
-    def match(self, token: str) -> tuple[int, bool] | None:
-        """The entry that a token of a text hits, and whether it is spelled as such."""
+        A lexicon is asked either for all hits or for those spelled right, never for both.
+        """
         try:
             return self.known[token]
         except KeyError:
@@ -84,22 +111,21 @@ class Lexicon:
             self.known.clear()
         found = None
         for word in _LETTERS.findall(token.lower()):
-            hit = self._word(word)
+            hit = self._word(word, misspelled)
             if hit is not None and (found is None or (hit[1], self.entries[hit[0]][2]) > (found[1], self.entries[found[0]][2])):
                 found = hit
         self.known[token] = found
         return found
 
-    def _word(self, word: str) -> tuple[int, bool] | None:
+    def _word(self, word: str, misspelled: bool = True) -> tuple[int, bool] | None:
         if word in self.exact:
             return self.exact[word], True
         for n in self.stem_lengths:
             if word[:n] in self.stems and len(word) >= n:
                 return self.stems[word[:n]], True
-        for (at, n, d), parts in self.parts.items():
-            if any(word[j : j + n] in parts for j in range(max(0, at - d), at + d + 1)):
-                break
-        else:
+        if not misspelled:
+            return None
+        if not any([part in word for part in self.parts]):
             return None
         near = self.near(word)
         return (max(near, key=lambda i: (self.entries[i][2], -i)), False) if near else None
@@ -137,10 +163,58 @@ class Lexicon:
                     stack.append((below, new))
         return out
 
-    def features(self, text: str | None) -> list[float]:
-        """Counts of hits by kind and context."""
-        tokens = (text or "").split()
-        hit_tokens = {t: h for t in set(tokens) if (h := self.match(t)) is not None}
+    def candidates(self, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+        """(number of the text, its words that may hit) over texts that hold any.
+
+        A word within d edits of an entry lacks at most d of its letters and is about as long. Letters are bits of a
+        number, so this is tested for all words of a group of texts at once.
+        """
+        held: list[bytes] = []
+        first = size = 0
+        for i, text in enumerate(texts):
+            held.append(text.lower().encode("utf-8", "surrogatepass"))
+            size += len(held[-1])
+            if size < GROUP and i + 1 < len(texts):
+                continue
+            buffer = np.frombuffer(b" ".join(held), np.uint8)
+            offsets = np.cumsum([0] + [len(x) + 1 for x in held])
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], _BITS[buffer] != 0, [0])).astype(np.int8)))
+            starts, ends = edges[::2], edges[1::2]
+            if len(starts):
+                letters = np.bitwise_or.reduceat(_BITS[buffer], starts)
+                lengths = ends - starts
+                may = np.zeros(len(starts), bool)
+                for shape, lack, least, most in self.shapes:
+                    near = np.bitwise_count(shape & ~letters) <= lack
+                    near &= lengths >= least
+                    if most is not None:
+                        # Words beside typographic punctuation look longer than they are.
+                        near &= (lengths <= most) | (letters & _MARKS != 0)
+                    may |= near
+                found: dict[int, list[str]] = {}
+                at = np.flatnonzero(may)
+                for k, own in zip(at.tolist(), (np.searchsorted(offsets, starts[at], side="right") - 1).tolist(), strict=True):
+                    word = buffer[starts[k] : ends[k]].tobytes().decode("utf-8", "replace")
+                    if self.match(word) is not None:
+                        found.setdefault(own, []).append(word)
+                for own, words in found.items():
+                    yield first + own, words
+            first, held, size = i + 1, [], 0
+
+    def all_features(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(texts), FEATURES))
+        for i, words in self.candidates([t or "" for t in texts]):
+            out[i] = self.features(texts[i], set(words))
+        return out
+
+    def features(self, text: str, words: set[str]) -> list[float]:
+        """Counts of hits by kind and context; `words` are the lower-case words of the text that hit."""
+        tokens = text.split()
+        hit_tokens = {}
+        for t in set(tokens):
+            lowered = t.lower()
+            if any(w in lowered for w in words) and (h := self.match(t)) is not None:
+                hit_tokens[t] = h
         if not hit_tokens:
             return [0.0] * FEATURES
         at = [i for i, t in enumerate(tokens) if t in hit_tokens]
@@ -213,15 +287,58 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> Lexicon | None:
     lift = ((F.col("toxic") + 0.5) / (sizes[1] + 1)) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
     passed = totals.where(F.col("toxic") >= max(LEAST_DOCUMENTS, LEAST_SHARE * sizes[1])).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
     best = passed.orderBy(F.col("toxic").desc(), F.length("term"), "term").limit(limit).collect()
-    # A beginning covers longer beginnings and words unless it is much less telling.
+    return _covering(rows, Lexicon(_choose(best))) if best else None
+
+
+def _covering(rows: DataFrame, lexicon: Lexicon) -> Lexicon | None:
+    """The entries that toxic documents need: greedily, until each holds COVER of them or further ones help too few.
+
+    Words that a group of copies happens to share add nothing once the terms that make it toxic are in. At most the
+    sampled documents' lists of entries reach the driver.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"held": [sorted({h[0] for t in set((x or "").split()) if (h := shared.value.match(t, False)) is not None}) for x in part["text"]]})
+
+    lists = rows.where("toxic = 1").mapInPandas(held, "held array<int>").groupBy("held").count().toPandas()
+    has = np.zeros((len(lists), len(lexicon.entries)), bool)
+    for i, ids in enumerate(lists["held"]):
+        has[i, list(ids)] = True
+    copies, need, chosen = lists["count"].to_numpy(), np.minimum(COVER, has.sum(axis=1)), []
+    while True:
+        gain = ((need > 0) * copies) @ has
+        gain[chosen] = 0
+        best = int(np.argmax(gain)) if len(gain) else 0
+        if not len(gain) or gain[best] < max(LEAST_DOCUMENTS, LEAST_GAIN * copies.sum()):
+            break
+        chosen.append(best)
+        need = need - (has[:, best] & (need > 0))
+    return Lexicon([lexicon.entries[i] for i in sorted(chosen)]) if chosen else None
+
+
+def _choose(best: list) -> list[tuple[str, bool, float]]:
+    """Entries among the terms that passed: short ones first, and nothing that begins like one chosen already.
+
+    Where nearly all documents of a beginning hold one longer beginning or word, that is the entry: it says more, and
+    long entries may be misspelled.
+    """
+    found = {(r["term"].rstrip("*"), r["term"].endswith("*")): (r["toxic"], float(np.log(r["lift"]))) for r in best}
     entries, taken = [], set()
-    for r in sorted(best, key=lambda r: (len(r["term"].rstrip("*")), not r["term"].endswith("*"), r["term"])):
-        text, stem = r["term"].rstrip("*"), r["term"].endswith("*")
-        if not any(text[:n] in taken for n in STEMS):
-            entries.append((text, stem, float(np.log(r["lift"]))))
-            if stem:
-                taken.add(text)
-    return Lexicon(entries) if entries else None
+    for text, stem in sorted(found, key=lambda k: (len(k[0]), not k[1], k[0])):
+        if any(text[:n] in taken for n in STEMS):
+            continue
+        if stem:
+            taken.add(text)
+        while stem:
+            longer = [k for k in found if k[0].startswith(text) and (len(k[0]) == len(text) + 1 if k[1] else True) and k != (text, stem)]
+            near = [k for k in longer if found[k][0] >= SAME_TERM * found[text, stem][0]]
+            if not near:
+                break
+            text, stem = max(near, key=lambda k: (not k[1], found[k][0], k[0]))
+        entries.append((text, stem, found[text, stem][1]))
+    return entries
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 100) -> np.ndarray:
@@ -244,7 +361,7 @@ class ToxicityModel:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.lexicon is None or self.weights is None:
             return np.zeros(len(texts))
-        x = np.array([self.lexicon.features(t) for t in texts]).reshape(-1, FEATURES)
+        x = self.lexicon.all_features(texts)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
@@ -258,7 +375,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.DataFrame({"toxic": part["toxic"], "x": [shared.value.features(t) for t in part["text"]]})
+            yield pd.DataFrame({"toxic": part["toxic"], "x": list(shared.value.all_features(part["text"].tolist()))})
 
     found = rows.mapInPandas(features, "toxic int, x array<double>").groupBy("toxic", "x").count().toPandas()
     x = np.repeat(np.stack(found["x"].to_numpy()), found["count"], axis=0)

@@ -77,9 +77,24 @@ def test_misspellings_hit():
     assert lexicon.match("idols") is None and lexicon.match("") is None
 
 
+def test_candidates_miss_no_hit():
+    rng = random.Random(9)
+    entries = [(w, s, 1.0) for w, s in (("scoundrel", False), ("idiot", False), ("übelwicht", False), ("poltro", True), ("wret", True), ("ärgster", True))]
+    lexicon = toxicity.Lexicon(entries)
+    texts = []
+    for _ in range(500):
+        word = list(rng.choice(entries)[0] + rng.choice(["", "", "xy"]))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(word) + 1)
+            word[at : at + rng.randrange(2)] = rng.choice(["", "a", "ß", "o"])
+        texts.append(f"so {rng.choice(['', '“', '(', '…', '12'])}{''.join(word)}{rng.choice(['', '”', '!', '’s', '»»»»»'])} there".upper() if rng.random() < 0.3 else f"a “{''.join(word)}” b")
+    expected = {i for i, t in enumerate(texts) if any(lexicon.match(w) is not None for w in t.split())}
+    assert {i for i, _ in lexicon.candidates(texts)} == expected and 100 < len(expected) < 500
+
+
 def test_quotation_is_told_apart():
     lexicon = toxicity.Lexicon([("scoundrel", False, 5.0)])
-    plain, quoted = lexicon.features("you are a scoundrel and so on"), lexicon.features('he wrote "you are a scoundrel" and so on')
+    plain, quoted = lexicon.all_features(["you are a scoundrel and so on", 'he wrote "you are a scoundrel" and so on'])
     assert plain[0] > 0 == plain[2] and quoted[2] > 0 == quoted[0]
 
 
