@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoquill.llm import bpe, embeddings, jaccard, languages, minhash, mixing, resampling, secrets, sharding, toxicity
+from cytoquill.llm import bpe, embeddings, jaccard, languages, minhash, mixing, oracles, resampling, secrets, sharding, toxicity
 from cytoquill.llm.registry import ORACLES, QUERIES, query
 from cytoquill.llm.tables import table
 
@@ -46,7 +46,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op6_ngram_jaccard_join")
+@query("op6_ngram_jaccard_join", oracles.JACCARD)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
@@ -59,13 +59,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs, *languages.learn(docs))
 
 
-@query("op8_embedding_multi_index")
+@query("op8_embedding_multi_index", oracles.EMBEDDINGS)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between vectors of a label with a cosine of 0.98 or more."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@query("op9_secret_ownership")
+@query("op9_secret_ownership", oracles.SECRETS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, and which of them a single owner holds."""
     return secrets.digest_columns(secrets.find_secrets(table(spark, sf_dir, "documents")))
