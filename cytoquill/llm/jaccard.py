@@ -168,6 +168,12 @@ def shared_segments(docs: DataFrame, n: int, percent: int, total: int) -> DataFr
                 if names:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(owners))], ["segment", "class"])
 
+    return keep_shared(columns(docs, text="string").mapInArrow(cut, "segment bigint, class bigint"), total)
+
+
+def keep_shared(cuts: DataFrame, total: int) -> DataFrame:
+    """The rows (segment, class), once each, of segments that hold at least two classes. Stored."""
+
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by segment and class: a row counts if a neighbour has its segment and another class.
         last = None  # segment, class, whether it was given out
@@ -194,9 +200,7 @@ def shared_segments(docs: DataFrame, n: int, percent: int, total: int) -> DataFr
             if give.any():
                 yield pa.RecordBatch.from_arrays([pa.array(s[give]), pa.array(c[give])], ["segment", "class"])
 
-    cuts = columns(docs, text="string").mapInArrow(cut, "segment bigint, class bigint")
-    spark = docs.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SEGMENTS_PER_TASK))
+    tasks = max(int(cuts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SEGMENTS_PER_TASK))
     dealt = cuts.repartition(tasks, "segment").sortWithinPartitions("segment", "class")
     return cut_lineage(dealt.mapInArrow(shared, "segment bigint, class bigint"))
 
@@ -280,11 +284,16 @@ def _close_in_blocks(mixed: DataFrame, members: DataFrame, percent: int) -> Data
     return guests.unionAll(homes).groupBy("segment", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Components of classes under direct links: (class, component), only classes that have a link. Stored."""
+def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int, shared: DataFrame | None = None) -> DataFrame:
+    """Components of classes under direct links: (class, component), only classes that have a link. Stored.
+
+    `shared` says which classes to compare: those with a (segment, class) row in common. Without it, the segments that
+    miss no link are used.
+    """
     spark = docs.sparkSession
-    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    shared = shared_segments(docs, n, percent, 2 * total * (100 - percent) // percent)
+    if shared is None:
+        total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+        shared = shared_segments(docs, n, percent, 2 * total * (100 - percent) // percent)
     members = classes.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("outline").alias("outline"))
     members = cut_lineage(members.join(shared.select("class").distinct(), "class", "left_semi"))
 
@@ -330,7 +339,11 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> D
 def jaccard_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     classes = document_classes(docs, n)
-    found = link_classes(docs, classes, n, percent)
+    return name_components(classes, link_classes(docs, classes, n, percent))
+
+
+def name_components(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document, from the components of classes."""
     smallest = classes.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     named = smallest.join(found, "class", "left").select("class", F.coalesce("component", "class").alias("component"), "doc_id")
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -2,8 +2,8 @@
 
 A signature keeps, for each of many universal hash permutations, the smallest value over the shingles of a text
 (16 bits of it are stored). The share of equal places estimates the Jaccard similarity of two shingle sets.
-Bands of a signature are joined in Spark to find near copies, and the pairs found are verified by exact Jaccard
-similarity.
+Bands of a signature are joined in Spark to find near copies, and candidates are verified by exact Jaccard
+similarity (`near_duplicates`).
 
 Defined results: NULL is an empty text; texts without words share one signature and are like each other (1.0) and
 unlike any other (0.0); a text of fewer words than a shingle is one shingle; equal texts have equal fingerprints;
@@ -20,16 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoquill.llm.hashing import shingle_hashes, word_hashes
-from cytoquill.llm.tables import columns, cut_lineage, parts_for
+from cytoquill.llm import jaccard
+from cytoquill.llm.hashing import mix, shingle_hashes, word_hashes
+from cytoquill.llm.tables import columns, parts_for
 
 SHINGLE = 5
 PERMUTATIONS = 128
-BANDS = 16
-SIMILARITY = 0.8
+BANDS = 32
+SIMILARITY = 80
 #: Documents that are fingerprinted in order by one task.
 RUN_ROWS = 4_000
 
@@ -137,35 +138,33 @@ def fingerprint_in_order(docs: DataFrame, each: int = RUN_ROWS) -> DataFrame:
     return ordered.mapInArrow(_fingerprint_run, _OUT)
 
 
-def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
-    """Near copies among different texts: (text_a, text_b, jaccard) by text digest, and the texts' documents beside.
+def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, bands: int = BANDS) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
-    Returns pairs of digests whose exact Jaccard similarity reaches `similarity`. Texts are first made distinct by
-    digest. In each band the members of a bucket meet the bucket's smallest digest and their neighbour in digest order, so a
-    bucket gives two pairs per member, whatever its size.
+    Two documents link if a band of their signatures is equal and their exact Jaccard similarity reaches `percent`. The bands are
+    joined in Spark, texts with equal shingle sets as one, and no candidate pair that could connect two components is left
+    out; what is missed is what no band shows (at 0.8, less than one link in a million).
     """
     width = PERMUTATIONS // bands
-    text = columns(docs, text="string").where("text IS NOT NULL").select(F.md5("text").alias("digest"), "text").dropDuplicates(["digest"])
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, marks = batch.column("digest").to_pylist(), signatures(batch.column("text").to_pylist())
-            held = [(d, m) for d, m in zip(digests, marks, strict=True) if m is not _EMPTY]
-            rows = [(d, b, m[b * width : (b + 1) * width].tobytes().hex()) for d, m in held for b in range(bands)]
-            yield pa.RecordBatch.from_pydict({"digest": [r[0] for r in rows], "band": pa.array([r[1] for r in rows], pa.int32()), "bucket": [r[2] for r in rows]})
-
-    members = cut_lineage(text.mapInArrow(banded, "digest string, band int, bucket string"))
-    hubs = members.groupBy("band", "bucket").agg(F.min("digest").alias("hub"), F.max("digest").alias("last")).where("hub < last")
-    grouped = members.join(hubs, ["band", "bucket"])
-    neighbour = F.lag("digest").over(Window.partitionBy("band", "bucket").orderBy("digest"))
-    pairs = grouped.withColumn("neighbour", neighbour).where("neighbour IS NOT NULL").select(F.explode(F.array_distinct(F.array("hub", "neighbour"))).alias("text_a"), F.col("digest").alias("text_b")).distinct()
-    sides = pairs.join(text.select(F.col("digest").alias("text_a"), F.col("text").alias("a")), "text_a").join(text.select(F.col("digest").alias("text_b"), F.col("text").alias("b")), "text_b")
-
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([exact_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return sides.select("text_a", "text_b", jaccard("a", "b").alias("jaccard")).where(F.col("jaccard") >= similarity)
+            seen, buckets, owners = set(), [], []
+            for grams in jaccard.gram_sets(batch.column("text").to_pylist(), SHINGLE):
+                own = jaccard.class_of(grams)
+                if own and own not in seen:
+                    seen.add(own)
+                    parts = signature(grams).astype(np.uint64).reshape(bands, width)
+                    names = mix((parts * _MULTIPLY[:width]).sum(axis=1, dtype=np.uint64) + _ADD[:bands])
+                    buckets.append(names.view(np.int64))
+                    owners.append(np.full(bands, own, np.int64))
+            if buckets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(owners))], ["segment", "class"])
+
+    classes = jaccard.document_classes(docs, SHINGLE)
+    rows = columns(docs, text="string").mapInArrow(banded, "segment bigint, class bigint")
+    shared = jaccard.keep_shared(rows, bands * classes.count())
+    return jaccard.name_components(classes, jaccard.link_classes(docs, classes, SHINGLE, percent, shared))
 
 
 def exact_jaccard(a: str, b: str, n: int = SHINGLE) -> float:
