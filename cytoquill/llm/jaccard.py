@@ -272,13 +272,18 @@ def _close_in_blocks(mixed: DataFrame, members: DataFrame, percent: int) -> Data
         may = 100 * common >= percent * (size_x + size_y - common)
         may &= x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
         i, j = np.nonzero(may)
+        # A pair that shares several large segments is given out in the first of them only.
+        own, lists_x, lists_y = x["segment"].iloc[0], x["large"].to_numpy(), y["large"].to_numpy()
+        first = np.array([np.intersect1d(lists_x[u], lists_y[v], assume_unique=True)[0] == own for u, v in zip(i, j, strict=True)], bool)
+        i, j = i[first], j[first]
         left, right = x["class"].to_numpy()[i], y["class"].to_numpy()[j]
         return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
 
-    rows = mixed.join(members.select("class", "size", "outline"), "class").withColumn("blocks", F.ceil(F.col("held_classes") / CLASS_BLOCK))
+    large = mixed.groupBy("class").agg(F.sort_array(F.collect_list("segment")).alias("large"))
+    rows = mixed.join(members.select("class", "size", "outline"), "class").join(large, "class").withColumn("blocks", F.ceil(F.col("held_classes") / CLASS_BLOCK))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     mine = F.pmod(F.col("class"), F.col("blocks"))
-    values = ["class", "component", "size", "outline"]
+    values = ["class", "component", "size", "outline", "large"]
     guests = rows.where("component <> main").select("segment", mine.alias("i"), every.alias("j"), *values, F.lit(True).alias("guest"))
     homes = rows.select("segment", every.alias("i"), mine.alias("j"), *values, F.lit(False).alias("guest"))
     return guests.unionAll(homes).groupBy("segment", "i", "j").applyInPandas(run, "a bigint, b bigint")
