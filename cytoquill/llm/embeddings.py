@@ -33,7 +33,9 @@ from cytoquill.llm.tables import columns, cut_lineage, hash_order
 COSINE = 0.98
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 20_000
-#: Centroids of a half: the root of the number of vectors, within these bounds.
+#: Centroids of a half: this many times the fourth root of the number of vectors, within these bounds. Fewer centroids mean
+#: fewer cells to visit and larger products in a cell.
+CENTROIDS = 0.7
 LEAST_CENTROIDS, MOST_CENTROIDS = 8, 128
 #: Vectors of a block.
 BLOCK = 512
@@ -104,7 +106,7 @@ def _cells(books: dict[int, tuple[np.ndarray, np.ndarray]], radius: float):
                     row = own.iloc[at]
                     home = int(i[at]) * len(second) + int(j[at])
                     yield pd.DataFrame(
-                        {"class": row["class"], "width": int(width), "label": row["label"], "cell": cells.astype(np.int64), "home": cells == home, "held": row["held"], "vector": [x[at]] * len(cells)}
+                        {"class": row["class"], "width": int(width), "label": row["label"], "cell": cells.astype(np.int64), "home": cells == home, "held": row["held"]}
                     )
 
     return run
@@ -132,7 +134,7 @@ def _link_block(cosine: float):
         homes, guests = block[block["home"]], block[~block["home"]]
         if not len(homes) or not len(guests):
             return pd.DataFrame({"class": [], "links": [], "other": []})
-        a, b = np.stack(guests["vector"].to_numpy()), np.stack(homes["vector"].to_numpy())
+        a, b = _unit(guests["vector"]), _unit(homes["vector"])
         left, right = guests["class"].to_numpy(), homes["class"].to_numpy()
         linked = (a @ b.T >= cosine) & (left[:, None] != right[None, :])
         links = linked @ homes["held"].to_numpy()
@@ -161,22 +163,24 @@ def _link_block(cosine: float):
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """One row per row of `vectors`: vec_id, n_links, component_id, kept."""
-    rows = cut_lineage(columns(vectors, vec_id="bigint", embedding="array<double>", label="bigint"))
+    kept = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = cut_lineage(columns(vectors, vec_id="bigint", embedding=kept, label="bigint"))
     classes = vector_classes(rows)
     books = {}
     for r in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect():
         picked = classes.where(F.col("width") == r["width"]).orderBy(*hash_order(F.col("class"))).limit(sample).select("embedding").toPandas()
         x, half = _unit(picked["embedding"]), r["width"] // 2
-        k = int(np.clip(np.sqrt(r["n"]), LEAST_CENTROIDS, MOST_CENTROIDS))
+        k = int(np.clip(CENTROIDS * r["n"] ** 0.25, LEAST_CENTROIDS, MOST_CENTROIDS))
         books[r["width"]] = (fit_codebook(x[:, :half], k) if half else np.zeros((1, 0)), fit_codebook(x[:, half:], k))
     if not books:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    kind = "class bigint, width int, label bigint, cell bigint, home boolean, held bigint, vector array<double>"
+    kind = "class bigint, width int, label bigint, cell bigint, home boolean, held bigint"
     visits = cut_lineage(classes.select("class", "width", "label", "embedding", "held").repartition("class").mapInPandas(_chunks(_cells(books, radius)), kind))
     # Every visitor of a cell, in blocks, meets every block of those at home there.
     per_cell = visits.groupBy("width", "label", "cell").agg(F.count(F.lit(1)).alias("guests"), F.count(F.when(F.col("home"), 1)).alias("homes")).where("homes > 0")
-    sized = visits.join(per_cell, ["width", "label", "cell"])
+    vector = classes.select("class", F.col("embedding").alias("vector"))
+    sized = visits.join(per_cell, ["width", "label", "cell"]).where("guests > 1").join(vector, "class")
     blocks = lambda n: F.ceil(F.col(n) / block)
     mine = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), blocks(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(n) - 1))
