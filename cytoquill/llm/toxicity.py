@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import erfc, sqrt
 
 import numpy as np
 import pandas as pd
@@ -33,16 +34,16 @@ from cytoquill.llm.tables import columns, cut_lineage, hash_order
 SAMPLE = 20_000
 #: Entries of the lexicon, at most.
 LEXICON = 2_000
-#: An entry occurs in at least this share of the toxic sample and this many of its documents, ...
-LEAST_SHARE, LEAST_DOCUMENTS = 0.01, 3
-#: ... and its share there is at least this many times that in the clean sample.
-LEAST_LIFT = 50.0
+#: An entry occurs in at least this many documents of the toxic sample, however large that is, ...
+LEAST_DOCUMENTS = 3
+#: ... its share there is at least this many times that in the clean sample, ...
+LEAST_LIFT = 10.0
+#: ... and at most this share of all entries would pass by chance.
+FALSE_SHARE = 0.05
 #: A longer term that this share of a beginning's documents hold stands in for it.
 SAME_TERM = 0.9
 #: Entries that each toxic document of the sample should hold, where it can.
 COVER = 4
-#: A further entry must be needed by this share of the toxic sample.
-LEAST_GAIN = 0.02
 #: Lengths of word beginnings that may become entries.
 STEMS = range(4, 8)
 #: Words on either side that make the context of a hit.
@@ -285,13 +286,24 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> Lexicon | None:
         return None
     totals = rows.mapInArrow(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = ((F.col("toxic") + 0.5) / (sizes[1] + 1)) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
-    passed = totals.where(F.col("toxic") >= max(LEAST_DOCUMENTS, LEAST_SHARE * sizes[1])).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
-    best = passed.orderBy(F.col("toxic").desc(), F.length("term"), "term").limit(limit).collect()
+    # How much better two rates explain the counts than one does (likelihood ratio).
+    both, toxic_share = F.col("toxic") + F.col("clean"), sizes[1] / (sizes[0] + sizes[1])
+    ratio = F.col("toxic") * F.log(F.col("toxic") / (both * toxic_share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - toxic_share)))).otherwise(0)
+    tried = cut_lineage(totals.where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("lift", lift).withColumn("ratio", ratio))
+    best = tried.where(F.col("lift") >= LEAST_LIFT).orderBy(F.col("ratio").desc(), F.length("term"), "term").limit(limit).collect()
+    best = _significant(best, tried.count())
     return _covering(rows, Lexicon(_choose(best))) if best else None
 
 
+def _significant(best: list, tried: int) -> list:
+    """The first of the terms, ordered by likelihood ratio, of which at most FALSE_SHARE pass by chance among all tried."""
+    chance = np.array([0.5 * erfc(sqrt(max(r["ratio"], 0.0))) for r in best])
+    passed = np.flatnonzero(chance <= FALSE_SHARE * np.arange(1, len(best) + 1) / max(tried, 1))
+    return best[: passed[-1] + 1] if len(passed) else []
+
+
 def _covering(rows: DataFrame, lexicon: Lexicon) -> Lexicon | None:
-    """The entries that toxic documents need: greedily, until each holds COVER of them or further ones help too few.
+    """The entries that toxic documents need: greedily, until each holds COVER of them or further ones help fewer than LEAST_DOCUMENTS.
 
     Words that a group of copies happens to share add nothing once the terms that make it toxic are in. At most the
     sampled documents' lists of entries reach the driver.
@@ -307,14 +319,15 @@ def _covering(rows: DataFrame, lexicon: Lexicon) -> Lexicon | None:
     for i, ids in enumerate(lists["held"]):
         has[i, list(ids)] = True
     copies, need, chosen = lists["count"].to_numpy(), np.minimum(COVER, has.sum(axis=1)), []
-    while True:
-        gain = ((need > 0) * copies) @ has
-        gain[chosen] = 0
-        best = int(np.argmax(gain)) if len(gain) else 0
-        if not len(gain) or gain[best] < max(LEAST_DOCUMENTS, LEAST_GAIN * copies.sum()):
-            break
+    gain = copies @ has if len(lists) else np.zeros(len(lexicon.entries), int)
+    while gain.max(initial=0) >= LEAST_DOCUMENTS:
+        best = int(np.argmax(gain))
         chosen.append(best)
-        need = need - (has[:, best] & (need > 0))
+        here = has[:, best] & (need > 0)
+        need[here] -= 1
+        full = here & (need == 0)
+        gain -= copies[full] @ has[full]
+        gain[chosen] = 0
     return Lexicon([lexicon.entries[i] for i in sorted(chosen)]) if chosen else None
 
 

@@ -92,6 +92,24 @@ def test_candidates_miss_no_hit():
     assert {i for i, _ in lexicon.candidates(texts)} == expected and 100 < len(expected) < 500
 
 
+def test_rare_terms_are_entries(spark):
+    """Sixty terms, each in a sixtieth of the toxic documents."""
+    rng = random.Random(3)
+    terms = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(3000):
+        text, toxic = words(rng, 40).split(), int(i % 4 == 0)
+        if toxic:
+            text[rng.randrange(40)] = terms[i // 4 % 60]
+        rows.append((i, " ".join(text), "en", "s", 1))
+        labels.append((i, 1, toxic))
+    docs, labels = odd_docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    found = toxicity.score(docs, model).where("held_out").collect()
+    assert sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in found) >= 0.98 * len(found)
+    assert len(model.lexicon.entries) >= 58
+
+
 def test_quotation_is_told_apart():
     lexicon = toxicity.Lexicon([("scoundrel", False, 5.0)])
     plain, quoted = lexicon.all_features(["you are a scoundrel and so on", 'he wrote "you are a scoundrel" and so on'])
