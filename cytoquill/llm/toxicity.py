@@ -4,7 +4,8 @@ The lexicon holds words and word beginnings that are far commoner in toxic than
 kept as a trie; a word of a text is an automaton that accepts everything within a few edits of it (its states are
 bit sets of positions per number of errors), and walking both together finds all entries that the word could be a
 misspelling of. Hits are counted apart by context: alone, near other hits, between quotation marks. A logistic
-model over these counts, fitted on the training rows, gives the score.
+model over these counts, fitted on the training rows, gives the score. Digits and symbols inside a word may stand for
+letters; other misspellings count by how much more often toxic training documents hold them.
 
 Labels are read only for training; the fit takes at most SAMPLE labelled documents of each class, those with the
 smallest hashes of their doc_id. Scores depend on the text alone.
@@ -44,27 +45,39 @@ FALSE_SHARE = 0.05
 SAME_TERM = 0.9
 #: Entries that each toxic document of the sample should hold, where it can.
 COVER = 4
+#: A misspelling worth less of a hit than this is none.
+LEAST_TRUST = 0.1
 #: Lengths of word beginnings that may become entries.
 STEMS = range(4, 8)
 #: Words on either side that make the context of a hit.
 WINDOW = 6
 THRESHOLD = 0.7
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Bytes of text whose words are tested together.
-GROUP = 1 << 20
-#: A bit for each letter; bytes of other scripts share the rest, and those of general punctuation have one of their own.
-_BITS = np.zeros(256, np.uint64)
-_BITS[97:123] = np.uint64(1) << np.arange(26, dtype=np.uint64)
-_BITS[128:] = np.uint64(1) << (np.arange(128, 256, dtype=np.uint64) % np.uint64(37) + np.uint64(26))
-_MARKS = np.uint64(1) << np.uint64(63)
-_BITS[0xE2] |= _MARKS
-_BITS[0xC2] |= _MARKS
+#: Punctuation between words that are written without a space.
+_STOPS = re.compile(r"""[\s.,;:?/\\()\[\]{}<>"“”„«»‹›…=&-]+""")
 _QUOTES = "\"“”„«»‹›"
 
 
 def edits_allowed(entry: str, stem: bool) -> int:
-    """Short entries must be spelled right, longer ones may have one or two wrong letters."""
-    return 0 if len(entry) < (6 if stem else 5) else 1 if len(entry) < 9 else 2
+    """Entries under 4 letters must be spelled right, longer ones may have one or two wrong letters."""
+    return 0 if len(entry) < 4 else 1 if len(entry) < 9 else 2
+
+
+def trust(toxic: np.ndarray, clean: np.ndarray, toxic_rows: int, clean_rows: int) -> np.ndarray:
+    """How much of a hit a slip in each entry is, from 0 to 1, by the shares of documents that hold one in both classes.
+
+    Without any seen, a slip is worth most of a hit; as common in clean documents as in toxic ones, nothing.
+    """
+    a, b = (toxic + 1) / (toxic_rows + 1), (clean + 0.25) / (clean_rows + 1)
+    rows = max(toxic_rows, clean_rows) + 1
+    a = np.where(toxic + clean == 0, 1 / rows, a)
+    b = np.where(toxic + clean == 0, 0.25 / rows, b)
+    return np.clip(2 * a / (a + b) - 1, 0.0, 1.0)
+
+
+def _shorter(word: str) -> list[str]:
+    """A word, and what one letter less leaves of it."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
 
 
 class Lexicon:
@@ -75,29 +88,41 @@ class Lexicon:
         self.root: dict = {}
         self.exact: dict[str, int] = {}
         self.stems: dict[str, int] = {}
-        parts: set[str] = set()
         self.known: dict[str, tuple[int, bool] | None] = {}
+        self.veiled: set[str] = set()
+        # Tests that every word within d edits of an entry passes: one of d + 1 parts of the entry stands unchanged, at
+        # most d places off; with one edit, both have a letter less in common.
+        self.less: set[str] = set()
+        self.less_stems: set[str] = set()
+        ends: dict[int, set[str]] = {}
+        spots: tuple[dict, dict] = ({}, {})
         for i, (text, stem, _) in enumerate(entries):
-            node = self.root
+            d, node = edits_allowed(text, stem), self.root
             for letter in text:
+                node["edits"] = max(node.get("edits", 0), d)
                 node = node.setdefault(letter, {})
+            node["edits"] = max(node.get("edits", 0), d)
             node.setdefault("", []).append(i)
             (self.stems if stem else self.exact)[text] = i
-            # One of d + 1 parts of an entry stands unchanged in any word within d edits.
-            d = edits_allowed(text, stem)
+            if d == 1:
+                (self.less_stems if stem else self.less).update(_shorter(text))
             cuts = [len(text) * j // (d + 1) for j in range(d + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False) if d else ():
-                parts.add(text[a:b])
-        self.parts = sorted(parts)
+                if a == 0:
+                    spots[d - 1].setdefault((0, b), set()).add(text[:b])
+                elif d == 1 and not stem:
+                    ends.setdefault(b - a, set()).add(text[a:])
+                # An edit before the part may move it, one behind it does not.
+                for j in range(max(0, a - d), a + d + 1) if a and (stem or d == 2) else range(1, d + 1) if d == 2 else ():
+                    spots[d - 1].setdefault((j, b - a), set()).add(text[a:b])
+        self.spots = [[(j, j + k, held) for (j, k), held in sorted(at.items())] for at in spots]
+        self.ends = sorted(ends.items())
         self.stem_lengths = sorted({len(s) for s in self.stems})
-        self.shapes = []
-        for text, stem, _ in entries:
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            d = edits_allowed(text, stem)
-            # An edit takes away one character: one bit, or one for each byte of a letter of several.
-            wide = sorted((len(c.encode("utf-8", "surrogatepass")) for c in text), reverse=True)
-            lack = sum(wide[:d])
-            self.shapes.append((np.bitwise_or.reduce(_BITS[data]), lack, len(text) - d, None if stem else len(data) + 4 * d))
+        lengths = [len(t) for t, stem, _ in entries if stem and edits_allowed(t, stem) == 1]
+        self.near_lengths = sorted({n + k for n in lengths for k in (-1, 0, 1)})
+        self.longest = max((len(t) for t, _, _ in entries), default=0)
+        none = np.zeros(len(entries))
+        self.trust = trust(none, none, 0, 0)
 
     def match(self, token: str, misspelled: bool = True) -> tuple[int, bool] | None:
         """The entry that a token of a text hits, and whether it is spelled as such.
@@ -111,10 +136,20 @@ class Lexicon:
         if len(self.known) > 500_000:
             self.known.clear()
         found = None
-        for word in _LETTERS.findall(token.lower()):
+        lowered = token.lower()
+        words = _LETTERS.findall(lowered)
+        for word in words:
             hit = self._word(word, misspelled)
             if hit is not None and (found is None or (hit[1], self.entries[hit[0]][2]) > (found[1], self.entries[found[0]][2])):
                 found = hit
+        if misspelled and len(words) > 1 and not (found and found[1]):
+            # Digits and symbols between letters may stand for letters.
+            near = {i: w for w in _veiled_words(lowered) if self._may_be_near(w) for i in self.near(w)}
+            if near:
+                best = max(near, key=lambda i: (_STOPS.search(near[i]) is None, self.entries[i][2], -i))
+                found = best, False
+                if _STOPS.search(near[best]) is None:
+                    self.veiled.add(token)
         self.known[token] = found
         return found
 
@@ -124,19 +159,38 @@ class Lexicon:
         for n in self.stem_lengths:
             if word[:n] in self.stems and len(word) >= n:
                 return self.stems[word[:n]], True
-        if not misspelled:
-            return None
-        if not any([part in word for part in self.parts]):
+        if not misspelled or not self._may_be_near(word):
             return None
         near = self.near(word)
         return (max(near, key=lambda i: (self.entries[i][2], -i)), False) if near else None
 
+    def _may_be_near(self, word: str) -> bool:
+        """False only if no entry is near; costs no walk."""
+        for a, b, held in self.spots[1]:
+            if word[a:b] in held:
+                return True
+        for a, b, held in self.spots[0]:
+            if word[a:b] in held:
+                break
+        else:
+            for k, held in self.ends:
+                if word[-k:] in held:
+                    break
+            else:
+                return False
+        n = len(word)
+        if n <= self.longest + 1 and not self.less.isdisjoint(_shorter(word)):
+            return True
+        return any(k <= n and not self.less_stems.isdisjoint(_shorter(word[:k])) for k in self.near_lengths)
+
     def near(self, word: str, most: int = 2) -> list[int]:
         """Entries within their allowed edits of the word (stems: of a beginning of it).
 
         Bit i of a state's k-th number says that the trie path can spell the first i letters of the word with k
         errors.
         """
+        # What is longer than any entry and its edits can only hold a beginning.
+        word = word[: self.longest + most + 1]
         n = len(word)
         places: dict[str, int] = {}
         for i, letter in enumerate(word):
@@ -147,6 +201,8 @@ class Lexicon:
         while stack:
             node, state = stack.pop()
             for letter, below in node.items():
+                if letter == "edits":
+                    continue
                 if letter == "":
                     for i in below:
                         text, stem, _ = self.entries[i]
@@ -160,62 +216,39 @@ class Lexicon:
                     # match; letter too many in the entry; wrong letter; letter missing in the entry
                     step = (state[k] << 1) & here | state[k - 1] | state[k - 1] << 1
                     new.append((step | new[k - 1] | new[k - 1] << 1) & full)
-                if new[most]:
+                if new[below["edits"]]:
                     stack.append((below, new))
         return out
 
-    def candidates(self, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-        """(number of the text, its words that may hit) over texts that hold any.
+    def candidates(self, texts: list[str]) -> Iterator[tuple[int, dict[str, tuple[int, bool]]]]:
+        """(number of the text, its tokens that hit and what they hit) over texts that hold any.
 
-        A word within d edits of an entry lacks at most d of its letters and is about as long. Letters are bits of a
-        number, so this is tested for all words of a group of texts at once.
+        Every distinct token is looked up once and then remembered.
         """
-        held: list[bytes] = []
-        first = size = 0
         for i, text in enumerate(texts):
-            held.append(text.lower().encode("utf-8", "surrogatepass"))
-            size += len(held[-1])
-            if size < GROUP and i + 1 < len(texts):
-                continue
-            buffer = np.frombuffer(b" ".join(held), np.uint8)
-            offsets = np.cumsum([0] + [len(x) + 1 for x in held])
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], _BITS[buffer] != 0, [0])).astype(np.int8)))
-            starts, ends = edges[::2], edges[1::2]
-            if len(starts):
-                letters = np.bitwise_or.reduceat(_BITS[buffer], starts)
-                lengths = ends - starts
-                may = np.zeros(len(starts), bool)
-                for shape, lack, least, most in self.shapes:
-                    near = np.bitwise_count(shape & ~letters) <= lack
-                    near &= lengths >= least
-                    if most is not None:
-                        # Words beside typographic punctuation look longer than they are.
-                        near &= (lengths <= most) | (letters & _MARKS != 0)
-                    may |= near
-                found: dict[int, list[str]] = {}
-                at = np.flatnonzero(may)
-                for k, own in zip(at.tolist(), (np.searchsorted(offsets, starts[at], side="right") - 1).tolist(), strict=True):
-                    word = buffer[starts[k] : ends[k]].tobytes().decode("utf-8", "replace")
-                    if self.match(word) is not None:
-                        found.setdefault(own, []).append(word)
-                for own, words in found.items():
-                    yield first + own, words
-            first, held, size = i + 1, [], 0
+            if len(self.veiled) > 500_000:
+                self.known.clear()
+                self.veiled.clear()
+            hits = {t: h for t in set(text.split()) if (h := self.match(t)) is not None}
+            if hits:
+                yield i, hits
 
     def all_features(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), FEATURES))
-        for i, words in self.candidates([t or "" for t in texts]):
-            out[i] = self.features(texts[i], set(words))
+        for i, hits in self.candidates([t or "" for t in texts]):
+            out[i] = self.features(texts[i], hits)
         return out
 
-    def features(self, text: str, words: set[str]) -> list[float]:
-        """Counts of hits by kind and context; `words` are the lower-case words of the text that hit."""
+    def features(self, text: str, hits: dict[str, tuple[int, bool]]) -> list[float]:
+        """Counts of hits by kind and context; `hits` are the tokens of the text that hit, and their entries.
+
+        Digits and symbols (but not punctuation) between the letters of an entry are no slip, so such a token counts as
+        spelled right. Other misspellings count by the trust in their entry; without any, they are no hits.
+        """
         tokens = text.split()
-        hit_tokens = {}
-        for t in set(tokens):
-            lowered = t.lower()
-            if any(w in lowered for w in words) and (h := self.match(t)) is not None:
-                hit_tokens[t] = h
+        right = {t for t, h in hits.items() if h[1] or t in self.veiled}
+        hit_tokens = {t: 1.0 if t in right else self.trust[h[0]] for t, h in hits.items()}
+        hit_tokens = {t: worth for t, worth in hit_tokens.items() if worth >= LEAST_TRUST}
         if not hit_tokens:
             return [0.0] * FEATURES
         at = [i for i, t in enumerate(tokens) if t in hit_tokens]
@@ -224,21 +257,33 @@ class Lexicon:
         for j, i in enumerate(at):
             if i in quoted:
                 cited += 1
-            elif hit_tokens[tokens[i]][1]:
+            elif tokens[i] in right:
                 exact += 1
             else:
-                fuzzy += 1
+                fuzzy += hit_tokens[tokens[i]]
             if j and i - at[j - 1] <= WINDOW or j + 1 < len(at) and at[j + 1] - i <= WINDOW:
                 close += 1
-        spelled = {h[0] for h in hit_tokens.values() if h[1]}
-        weight = sum(self.entries[i][2] for i in spelled)
+        held: dict[int, float] = {}
+        for t, worth in hit_tokens.items():
+            held[hits[t][0]] = max(held.get(hits[t][0], 0.0), worth)
+        weight = sum(self.entries[i][2] * worth for i, worth in sorted(held.items()))
         share = len(at) / len(tokens)
-        return [np.log1p(exact), np.log1p(fuzzy), np.log1p(cited), np.log1p(close), np.log1p(len(spelled)), min(weight, 40.0) / 10, np.log1p(100 * share)]
+        return [np.log1p(exact + fuzzy), np.log1p(fuzzy), np.log1p(cited), np.log1p(close), np.log1p(sum(held.values())), min(weight, 40.0) / 10, np.log1p(100 * share)]
 
 
 FEATURES = 7
 
 
+def _veiled_words(token: str) -> set[str]:
+    """Stretches of a lower-case token that have digits or symbols between letters: all of it, and those without punctuation."""
+    out = set()
+    for part in [token, *_STOPS.split(token)]:
+        ends = [m.span() for m in _LETTERS.finditer(part)]
+        if len(ends) > 1:
+            out.add(part[ends[0][0] : ends[-1][1]])
+    return out
+
+
 def _inside_quotes(tokens: list[str]) -> set[int]:
     """Places between an opening and a closing quotation mark at most 4 windows apart."""
     marks = [i for i, t in enumerate(tokens) for c in t if c in _QUOTES]
@@ -384,6 +429,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     lexicon = learn_lexicon(rows)
     if lexicon is None:
         return ToxicityModel(None, None)
+    _learn_trust(rows, lexicon)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -395,6 +441,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     return ToxicityModel(lexicon, fit_logistic(x, np.repeat(found["toxic"].to_numpy(float), found["count"])))
 
 
+def _learn_trust(rows: DataFrame, lexicon: Lexicon) -> None:
+    """Count the sampled documents of each class that hold a misspelling of each entry."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+
+    def slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            lexicon, toxic = shared.value, part["toxic"].tolist()
+            counts = Counter((toxic[i], k) for i, hits in lexicon.candidates([t or "" for t in part["text"]]) for k in {h[0] for t, h in hits.items() if not h[1] and t not in lexicon.veiled})
+            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["toxic", "entry", "n"])
+
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    seen = np.zeros((2, len(lexicon.entries)))
+    for r in rows.mapInPandas(slips, "toxic int, entry int, n bigint").groupBy("toxic", "entry").agg(F.sum("n").alias("n")).collect():
+        seen[r["toxic"], r["entry"]] = r["n"]
+    lexicon.trust = trust(seen[1], seen[0], sizes[1], sizes[0])
+
+
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

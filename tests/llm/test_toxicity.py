@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from cytoquill.llm import toxicity
@@ -92,6 +93,22 @@ def test_candidates_miss_no_hit():
     assert {i for i, _ in lexicon.candidates(texts)} == expected and 100 < len(expected) < 500
 
 
+def test_veiled_and_short_spellings_hit():
+    words = ["idiot", "moron", "loser", "trash", "stupid", "scum"]
+    lexicon = toxicity.Lexicon([(w, False, 4.0) for w in words])
+    veiled = {"id1ot": 0, "m0ron": 1, "l0ser": 2, "tr@sh": 3, "stu*id": 4, "STU*ID!": 4, "(m0ron)": 1, "you,m0ron": 1}
+    assert {t: lexicon.match(t) for t in veiled} == {t: (i, False) for t, i in veiled.items()}
+    assert lexicon.match("scvm") == lexicon.match("scuum") == (5, False)
+    for text in ("you are an id1ot", "so tr@sh here", "a stu*id one"):
+        found = lexicon.all_features([text])[0]
+        assert found[0] > 0 and found[1] == 0, text
+    # Other slips are hits of less worth, and none where clean texts hold them as often.
+    assert 0 < lexicon.all_features(["some scvm here"])[0][0] < lexicon.all_features(["some scum here"])[0][0]
+    lexicon.trust = toxicity.trust(np.full(6, 5.0), np.full(6, 50.0), 100, 1000)
+    assert not lexicon.all_features(["some scvm here"])[0].any()
+    assert lexicon.all_features(["it is 10 % of 3.5, see a/b-c 2nd e.g. x@y.zz"])[0].any() == False  # noqa: E712
+
+
 def test_rare_terms_are_entries(spark):
     """Sixty terms, each in a sixtieth of the toxic documents."""
     rng = random.Random(3)
