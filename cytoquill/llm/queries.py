@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoquill.llm import bpe, embeddings, jaccard, languages, minhash, mixing, oracles, resampling, secrets, sharding, toxicity
+from cytoquill.llm import bpe, collocations, embeddings, jaccard, languages, minhash, mixing, oracles, phrase_index, resampling, search, secrets, sharding, toxicity
 from cytoquill.llm.registry import ORACLES, QUERIES, query
 from cytoquill.llm.tables import table
 
@@ -75,3 +75,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text under the 50k byte-level vocabulary, and their decoding."""
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_shared_search", oracles.SEARCH)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_collocations", oracles.COLLOCATIONS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of 2 to 4 words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_phrase_contamination", oracles.CONTAMINATION)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in ten-word windows of benchmark items."""
+    index = phrase_index.build(table(spark, sf_dir, "documents"))
+    return phrase_index.digest_columns(phrase_index.contamination(index, table(spark, sf_dir, "benchmark")))

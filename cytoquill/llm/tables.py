@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import io
 import math
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cytoquill.session import cut_lineage, ensure_checkpoint_dir
@@ -13,7 +18,7 @@ from cytoquill.session import cut_lineage, ensure_checkpoint_dir
 #: A table of at most so many narrow rows may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 
-__all__ = ["BROADCAST_ROWS", "columns", "cut_lineage", "ensure_checkpoint_dir", "hash_order", "maybe_broadcast", "parts_for", "shared_file", "table", "unit"]
+__all__ = ["BROADCAST_ROWS", "columns", "cut_lineage", "ensure_checkpoint_dir", "hash_order", "load_arrays", "maybe_broadcast", "parts_for", "query_chunks", "shared_arrays", "shared_file", "stored", "table", "unit"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,3 +61,33 @@ def shared_file(spark: SparkSession, data: bytes, name: str) -> str:
     out.close()
     context.addFile(path.toString())
     return path.getName()
+
+
+def shared_arrays(spark: SparkSession, name: str, **arrays: np.ndarray) -> str:
+    """Ship arrays to every executor as one file; `load_arrays` reads it there."""
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return shared_file(spark, out.getvalue(), name)
+
+
+@functools.lru_cache(maxsize=4)
+def load_arrays(name: str) -> dict[str, np.ndarray]:
+    with np.load(SparkFiles.get(name)) as held:
+        return dict(held)
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a table as Parquet into the cluster's shared folder and read it back."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def query_chunks(items: DataFrame, chars: int) -> Iterator[list[Row]]:
+    """The rows of a query set (item_id, text), in chunks of about `chars` characters: what reaches the driver at once is bounded."""
+    rows = columns(items, item_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    chunks = parts_for(rows.agg(F.sum(F.length("text"))).first()[0] or 0, chars)
+    for i in range(chunks):
+        yield rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == i).orderBy("item_id", "text").collect()
