@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoquill.operators.records import BED_COLUMNS, FILTERS, FORMAT_FIELDS, INFO_FIELDS
+from cytoquill.sources import bcf
 
 
 def write_lines(rows: DataFrame, header: list[str], path: str, order: list[str]) -> None:
@@ -48,12 +49,11 @@ def vcf_header(contigs: list[tuple[str, int]], info: list[str], fmt: list[str],
 
 
 def write_vcf(lines: DataFrame, path: str, contigs: list[tuple[str, int]], info: list[str], fmt: list[str], metadata: dict[str, str] | None = None) -> None:
-    """Variant lines in contig, position and record-kind order."""
-    if path.endswith(".bcf"):
-        raise ValueError("BCF output is not supported; write .vcf or .vcf.gz")
+    """Variant lines in contig, position and record-kind order; binary if the path ends in .bcf."""
     value = F.concat_ws("\t", "contig", (F.col("pos") + 1).cast("string"), F.lit("."), "ref_text", "alt_text", "qual", "filter", F.coalesce(F.nullif("info", F.lit("")), F.lit(".")), "format", "sample")
     rows = lines.select(_rank(contigs)[F.col("contig")].alias("rank"), "pos", "kind", value.alias("value"))
-    write_lines(rows, vcf_header(contigs, info, fmt, metadata), path, ["rank", "pos", "kind", "value"])
+    write = bcf.write_lines if path.endswith(".bcf") else write_lines
+    write(rows, vcf_header(contigs, info, fmt, metadata), path, ["rank", "pos", "kind", "value"])
 
 
 def write_bed(rows: DataFrame, path: str, contigs: list[tuple[str, int]], columns: list[str] = BED_COLUMNS) -> None:

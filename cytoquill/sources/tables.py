@@ -9,35 +9,56 @@ from pyspark.sql import functions as F
 
 from cytoquill.operators.perread import LISTS
 from cytoquill.operators.records import BED_COLUMNS
+from cytoquill.sources import bcf
+from cytoquill.sources.lines import overlapping, read_lines
+
+#: Regions as (contig, start, end), half open, 0-based.
+Regions = list[tuple[str, int, int]]
 
 CALL_TYPES = ["string", "bigint", "bigint", "string", "string", "string", "bigint", "bigint", "bigint", "bigint", "bigint", "string", "double", "double", "string"]
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Variant lines of a text file (also compressed); a line with too few fields or a bad position is skipped."""
+def variant_lines(spark: SparkSession, path: str, regions: Regions | None = None) -> DataFrame:
+    return bcf.read_lines(spark, path, regions) if path.endswith(".bcf") else read_lines(spark, path, regions)
+
+
+def read_vcf(spark: SparkSession, path: str, regions: Regions | None = None) -> DataFrame:
+    """Variant lines of a text (also compressed) or binary file; a line with too few fields or a bad position is skipped.
+
+    With regions, the records whose reference bases overlap one of them; an indexed file is read only there, and a contig
+    that it lacks gives nothing.
+    """
     f = F.split("value", "\t")
     field = lambda i: F.get(f, F.lit(i))
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(f) >= 8))
-    return rows.select(
+    rows = variant_lines(spark, path, regions).where(~F.col("value").startswith("#") & (F.size(f) >= 8))
+    out = rows.select(
         field(0).alias("contig"), (field(1).try_cast("bigint") - 1).alias("pos"), F.lit(0).alias("kind"), field(3).alias("ref_text"), field(4).alias("alt_text"),
         field(5).alias("qual"), field(6).alias("filter"), field(7).alias("info"), F.coalesce(field(8), F.lit("")).alias("format"), F.coalesce(field(9), F.lit("")).alias("sample"),
     ).where("pos is not null")
+    return overlapping(out.withColumn("_stop", F.col("pos") + F.length("ref_text")), regions, "pos", "_stop").drop("_stop")
 
 
 def vcf_contigs(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """Contigs a variant file declares, in order (header lines only)."""
-    heads = spark.read.text(path).where(F.col("value").startswith("##contig=")).collect()
+    heads = bcf.header_lines(path) if path.endswith(".bcf") else [r[0] for r in spark.read.text(path).where(F.col("value").startswith("##contig=")).collect()]
     out = []
-    for (line,) in heads:
+    for line in heads:
+        if not line.startswith("##contig="):
+            continue
         name, size = re.search(r"ID=([^,>]+)", line), re.search(r"length=(\d+)", line)
         out.append((name.group(1), int(size.group(1)) if size else 0))
     return out
 
 
-def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    """A CpG table; rows that do not parse are dropped, older files without the last column count as reference CpGs."""
+def read_calls(spark: SparkSession, path: str, regions: Regions | None = None) -> DataFrame:
+    """A CpG table; rows that do not parse are dropped, older files without the last column count as reference CpGs.
+
+    With regions, the rows that overlap one of them; an indexed file is read only there.
+    """
     schema = ", ".join(f"`{c}` {t}" for c, t in zip(BED_COLUMNS, CALL_TYPES))
-    rows = spark.read.schema(schema).option("sep", "\t").option("comment", "#").option("mode", "PERMISSIVE").csv(path)
+    text = read_lines(spark, path, regions).where(~F.col("value").startswith("#"))
+    rows = text.select(F.from_csv("value", schema, {"sep": "\t", "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    rows = overlapping(rows, regions, "start", "end", "chr")
     return rows.where("chr is not null and start is not null").withColumn("cpg", F.coalesce("cpg", F.lit("REF")))
 
 
