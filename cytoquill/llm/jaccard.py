@@ -9,8 +9,9 @@ fragment and summed.
 
 Documents with equal sets are one class and only classes are joined. Links are wanted as components, so a segment that
 many classes share is never expanded into all pairs: its members first meet one of them (the hub), and after
-components are formed only those outside the segment's main component meet the others, in a large segment by blocks
-whose products only give out pairs that may qualify. No pair that could connect two components stays unchecked.
+components are formed only those outside the segment's main component meet the others. In a large segment that is done by
+blocks, which also count the overlaps and give out no more links than keep together what they link: rows stay in
+proportion to the classes whatever a group looks like. No pair that could connect two components stays unchecked.
 
 Defined results: NULL, empty and wordless texts have an empty set and are linked with nothing (their component is
 their own doc_id); a text of fewer words than n is one n-gram, its whole sequence; repeated rows are separate rows of
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,8 +44,10 @@ FRAGMENTS = 8
 OUTLINED = 20_000
 #: In segments of at most so many classes, pairs of different components are joined as rows; beyond, in blocks.
 SMALL_SEGMENT = 32
-#: Classes of a block.
-CLASS_BLOCK = 512
+#: Classes and n-grams of a block, on average.
+CLASS_BLOCK, GRAM_BLOCK = 512, 2_000_000
+#: In a block, overlaps of at most so many pairs are counted pair by pair; of more, as products of so many columns.
+FEW_PAIRS, COLUMNS = 500, 2_048
 #: Segments per task of the candidate search.
 SEGMENTS_PER_TASK = 2_000_000
 
@@ -247,11 +251,61 @@ def count_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
 
 
-def _close_in_blocks(mixed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in segments that many classes share, ruled by size and outline.
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray], may: np.ndarray) -> np.ndarray:
+    """Common n-grams of the pairs of two groups of sets that `may` marks, fragment of the order by fragment, summed."""
+    out = np.zeros(may.shape, np.int64)
+    pairs = np.argwhere(may)
+    if len(pairs) <= FEW_PAIRS:
+        for i, j in pairs:
+            out[i, j] = len(np.intersect1d(x[i], y[j], assume_unique=True))
+        return out
+    rows = [np.flatnonzero(may.any(axis=1 - side)) for side in (0, 1)]
+    held = [np.concatenate([sets[i] for i in at]) for sets, at in zip((x, y), rows, strict=True)]
+    owner = [np.repeat(np.arange(len(at)), [len(sets[i]) for i in at]) for sets, at in zip((x, y), rows, strict=True)]
+    both = np.intersect1d(*held)
+    place = [np.minimum(np.searchsorted(both, h), max(0, len(both) - 1)) for h in held]
+    shared = [both[p] == h for p, h in zip(place, held, strict=True)] if len(both) else [np.zeros(len(h), bool) for h in held]
+    order = [np.flatnonzero(s)[np.argsort(p[s], kind="stable")] for s, p in zip(shared, place, strict=True)]
+    total = np.zeros((len(rows[0]), len(rows[1])), np.float64)
+    for at in range(0, len(both), COLUMNS):
+        parts = []
+        for side in (0, 1):
+            sorted_place = place[side][order[side]]
+            pick = order[side][np.searchsorted(sorted_place, at) : np.searchsorted(sorted_place, at + COLUMNS)]
+            part = np.zeros((len(rows[side]), min(COLUMNS, len(both) - at)), np.float32)
+            part[owner[side][pick], place[side][pick] - at] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    out[np.ix_(*rows)] = np.rint(total).astype(np.int64)
+    return out
+
 
-    The members outside the main component and all members are cut into blocks, and each pair of blocks is one matrix
-    product over outlines; only pairs that may reach the threshold leave it.
+def _forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) of a matrix of links that keep together whatever links keep together."""
+    edges, left = [], np.ones(link.shape[0], bool)
+    fresh = np.ones(link.shape[1], bool)
+    for start in range(link.shape[0]):
+        if not left[start]:
+            continue
+        left[start] = False
+        rows = np.array([start])
+        while len(rows):
+            columns = np.flatnonzero(link[rows].any(axis=0) & fresh)
+            if not len(columns):
+                break
+            edges += list(zip(rows[link[rows][:, columns].argmax(axis=0)].tolist(), columns.tolist(), strict=True))
+            fresh[columns] = False
+            rows = np.flatnonzero(link[:, columns].any(axis=1) & left)
+            edges += list(zip(rows.tolist(), columns[link[rows][:, columns].argmax(axis=1)].tolist(), strict=True))
+            left[rows] = False
+    return edges
+
+
+def _links_in_blocks(mixed: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components in segments that many classes share.
+
+    The members outside the main component and all members are cut into blocks. In a pair of blocks, sizes and outlines rule most
+    pairs out, the overlaps of the others are counted, and of the links only those leave it that keep together what it links.
     """
     thermometer = lambda x, t: (x >= t).astype(np.float32)
 
@@ -271,22 +325,20 @@ def _close_in_blocks(mixed: DataFrame, members: DataFrame, percent: int) -> Data
             common[at] = np.minimum(common[at], np.rint(bound).astype(np.int64))
         may = 100 * common >= percent * (size_x + size_y - common)
         may &= x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
-        i, j = np.nonzero(may)
-        # A pair that shares several large segments is given out in the first of them only.
-        own, lists_x, lists_y = x["segment"].iloc[0], x["large"].to_numpy(), y["large"].to_numpy()
-        first = np.array([np.intersect1d(lists_x[u], lists_y[v], assume_unique=True)[0] == own for u, v in zip(i, j, strict=True)], bool)
-        i, j = i[first], j[first]
-        left, right = x["class"].to_numpy()[i], y["class"].to_numpy()[j]
+        common = _overlaps(*([np.asarray(g, np.int64) for g in side["grams"]] for side in (x, y)), may)
+        edges = _forest(may & (100 * common >= percent * (size_x + size_y - common)))
+        left, right = x["class"].to_numpy()[[i for i, _ in edges]], y["class"].to_numpy()[[j for _, j in edges]]
         return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
 
-    large = mixed.groupBy("class").agg(F.sort_array(F.collect_list("segment")).alias("large"))
-    rows = mixed.join(members.select("class", "size", "outline"), "class").join(large, "class").withColumn("blocks", F.ceil(F.col("held_classes") / CLASS_BLOCK))
+    rows = mixed.join(members.select("class", "size", "outline"), "class")
+    cuts = rows.groupBy("segment").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLASS_BLOCK), F.ceil(F.sum("size") / GRAM_BLOCK)).alias("blocks"))
+    rows = rows.join(cuts, "segment").join(sets, "class")
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    mine = F.pmod(F.col("class"), F.col("blocks"))
-    values = ["class", "component", "size", "outline", "large"]
+    mine = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    values = ["class", "component", "size", "outline", "grams"]
     guests = rows.where("component <> main").select("segment", mine.alias("i"), every.alias("j"), *values, F.lit(True).alias("guest"))
     homes = rows.select("segment", every.alias("i"), mine.alias("j"), *values, F.lit(False).alias("guest"))
-    return guests.unionAll(homes).groupBy("segment", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return guests.unionAll(homes).groupBy("segment", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int, shared: DataFrame | None = None) -> DataFrame:
@@ -333,10 +385,15 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int, shar
     outside = few.where("component <> main").select("segment", F.col("class").alias("x"), F.col("component").alias("cx"))
     inside = few.select("segment", F.col("class").alias("y"), F.col("component").alias("cy"))
     rest = outside.join(inside, "segment").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    many = _close_in_blocks(mixed.where(F.col("held_classes") > SMALL_SEGMENT), members, percent)
-    rest = cut_lineage(rest.unionAll(many).distinct().join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionAll(verified(rest))
+    rest = cut_lineage(rest.distinct().join(tried, ["a", "b"], "left_anti"))
+    large = mixed.where(F.col("held_classes") > SMALL_SEGMENT)
+    more = [verified(rest)] if not rest.isEmpty() else []
+    if not large.isEmpty():
+        whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("fragment", "grams"))), lambda x: x["grams"]))
+        sets = fragment_sets(docs, classes, large.select("class").distinct(), n).groupBy("class").agg(whole.alias("grams"))
+        more.append(cut_lineage(_links_in_blocks(large, members, sets, percent)))
+    if more:
+        links = reduce(DataFrame.unionAll, [links, *more])
         found = components(links)
     return found.select(F.col("vertex").alias("class"), "component")
 

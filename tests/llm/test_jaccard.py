@@ -65,6 +65,8 @@ def test_components_equal_all_pairs(spark, n, percent, kind, monkeypatch):
     if kind == 2:  # every segment counts as a large one
         monkeypatch.setattr(jaccard, "SMALL_SEGMENT", 1)
         monkeypatch.setattr(jaccard, "CLASS_BLOCK", 3)
+        monkeypatch.setattr(jaccard, "FEW_PAIRS", 2)
+        monkeypatch.setattr(jaccard, "COLUMNS", 7)
     rows = odd_rows() if kind == "odd" else graded_rows(kind)
     found = jaccard.jaccard_components(odd_docs(spark, rows), n, percent).collect()
     assert sorted((tuple(r) for r in found), key=repr) == plain_components(rows, n, percent)
@@ -94,3 +96,58 @@ def test_components_of_long_paths(spark):
 
 def test_empty(spark):
     assert jaccard.jaccard_components(no_docs(spark), 3, 90).count() == 0
+
+
+def test_blocks_count_overlaps_and_give_out_a_forest():
+    rng = np.random.default_rng(3)
+    x, y = ([np.unique(rng.integers(-500, 500, int(rng.integers(0, 300)))) for _ in range(n)] for n in (40, 60))
+    may = rng.random((40, 60)) < 0.7
+    plain = np.array([[len(np.intersect1d(a, b)) for b in y] for a in x])
+    found = jaccard._overlaps(x, y, may)
+    assert (found[may] == plain[may]).all()
+    for share in (0.0, 0.01, 0.03, 0.5):
+        link = rng.random((40, 60)) < share
+        edges = jaccard._forest(link)
+        assert len(edges) < 100 and all(link[e] for e in edges)
+
+        def groups(pairs):
+            label = list(range(100))
+            for i, j in pairs:
+                old, new = label[40 + j], label[i]
+                label = [new if v == old else v for v in label]
+            return {tuple(k for k, v in enumerate(label) if v == g) for g in label}
+
+        assert groups(edges) == groups(np.argwhere(link))
+
+
+def test_a_group_of_near_copies_that_no_hub_joins(spark):
+    """Members differ from each other as much as from the hub; few pairs are near enough."""
+    rng = random.Random(2)
+    base, rows = words(rng, 60).split(), []
+    for i in range(1_500):
+        copy = list(base)
+        for k in rng.sample(range(60), 2):
+            copy[k] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(copy), "en", "s", 0))
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(odd_docs(spark, rows), 3, 90).collect()}
+    sets = [gram_set(r[1], 3) for r in rows]
+    owners = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            owners.setdefault(g, []).append(i)
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if root(i) != root(j):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                    low, high = sorted((root(i), root(j)))
+                    label[high] = low
+    assert found == {i: root(i) for i in range(len(rows))}
