@@ -18,7 +18,7 @@ from cytoquill.session import cut_lineage, ensure_checkpoint_dir
 #: A table of at most so many narrow rows may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 
-__all__ = ["BROADCAST_ROWS", "columns", "cut_lineage", "ensure_checkpoint_dir", "hash_order", "load_arrays", "maybe_broadcast", "parts_for", "query_chunks", "shared_arrays", "shared_file", "stored", "table", "unit"]
+__all__ = ["BROADCAST_ROWS", "columns", "cut_lineage", "ensure_checkpoint_dir", "hash_order", "hashed_sample", "load_arrays", "maybe_broadcast", "parts_for", "query_chunks", "shared_arrays", "shared_file", "stored", "table", "unit"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,21 @@ def hash_order(*parts: Column) -> list[Column]:
     return [F.xxhash64(*parts), *parts]
 
 
+def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The n rows with the smallest hashes of `keys`. A histogram of hashes says which rows can be among them, so that
+    no more than those few meet in one task."""
+    step = F.shiftrightunsigned(F.xxhash64(*keys), 48)
+    held = 0
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), key=lambda r: r["step"]):  # at most 65,536 rows
+        held += r["count"]
+        if held >= n:
+            df = df.where(step <= r["step"])
+            break
+    if held <= n:
+        return df
+    return df.orderBy(F.shiftrightunsigned(F.xxhash64(*keys), 1), *keys).limit(n)
+
+
 def parts_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytoquill.llm.tables import columns, cut_lineage, hash_order
+from cytoquill.llm.tables import columns, cut_lineage, hashed_sample
 
 #: Labelled documents of each class that are fitted on, at most.
 SAMPLE = 20_000
@@ -52,6 +52,10 @@ STEMS = range(4, 8)
 #: Words on either side that make the context of a hit.
 WINDOW = 6
 THRESHOLD = 0.7
+#: Characters of tokens that hit, up to which they are shipped to all workers at once; beyond, every worker looks tokens up itself.
+SHIPPED = 4_000_000
+#: Longer tokens are not remembered by a worker.
+LONG_TOKEN = 1_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Punctuation between words that are written without a space.
 _STOPS = re.compile(r"""[\s.,;:?/\\()\[\]{}<>"“”„«»‹›…=&-]+""")
@@ -90,6 +94,8 @@ class Lexicon:
         self.stems: dict[str, int] = {}
         self.known: dict[str, tuple[int, bool] | None] = {}
         self.veiled: set[str] = set()
+        #: Whether `known` holds all hits of a table's tokens, so that any other token of it hits nothing.
+        self.complete = False
         # Tests that every word within d edits of an entry passes: one of d + 1 parts of the entry stands unchanged, at
         # most d places off; with one edit, both have a letter less in common.
         self.less: set[str] = set()
@@ -133,9 +139,20 @@ class Lexicon:
             return self.known[token]
         except KeyError:
             pass
+        found, veiled = self.look_up(token, misspelled)
+        if self.complete:
+            return found
         if len(self.known) > 500_000:
             self.known.clear()
-        found = None
+        if veiled:
+            self.veiled.add(token)
+        if len(token) <= LONG_TOKEN:
+            self.known[token] = found
+        return found
+
+    def look_up(self, token: str, misspelled: bool = True) -> tuple[tuple[int, bool] | None, bool]:
+        """What a token hits, and whether only digits and symbols between its letters differ from an entry's."""
+        found, veiled = None, False
         lowered = token.lower()
         words = _LETTERS.findall(lowered)
         for word in words:
@@ -148,10 +165,8 @@ class Lexicon:
             if near:
                 best = max(near, key=lambda i: (_STOPS.search(near[i]) is None, self.entries[i][2], -i))
                 found = best, False
-                if _STOPS.search(near[best]) is None:
-                    self.veiled.add(token)
-        self.known[token] = found
-        return found
+                veiled = _STOPS.search(near[best]) is None
+        return found, veiled
 
     def _word(self, word: str, misspelled: bool = True) -> tuple[int, bool] | None:
         if word in self.exact:
@@ -220,11 +235,18 @@ class Lexicon:
                     stack.append((below, new))
         return out
 
-    def candidates(self, texts: list[str]) -> Iterator[tuple[int, dict[str, tuple[int, bool]]]]:
+    def candidates(self, texts: list[str], of_table: bool = False) -> Iterator[tuple[int, dict[str, tuple[int, bool]]]]:
         """(number of the text, its tokens that hit and what they hit) over texts that hold any.
 
-        Every distinct token is looked up once and then remembered.
+        Texts of the table whose hits are all known only meet those (`of_table`); else every distinct token is looked up once
+        and then remembered.
         """
+        if of_table and self.complete:
+            hitting = self.known.keys()
+            for i, text in enumerate(texts):
+                if hits := hitting & set(text.split()):
+                    yield i, {t: self.known[t] for t in sorted(hits)}
+            return
         for i, text in enumerate(texts):
             if len(self.veiled) > 500_000:
                 self.known.clear()
@@ -233,9 +255,9 @@ class Lexicon:
             if hits:
                 yield i, hits
 
-    def all_features(self, texts: list[str | None]) -> np.ndarray:
+    def all_features(self, texts: list[str | None], of_table: bool = False) -> np.ndarray:
         out = np.zeros((len(texts), FEATURES))
-        for i, hits in self.candidates([t or "" for t in texts]):
+        for i, hits in self.candidates([t or "" for t in texts], of_table):
             out[i] = self.features(texts[i], hits)
         return out
 
@@ -302,7 +324,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """(text, toxic) of the training sample; the label ids are bounded by `sample` per class, so they are broadcast."""
     usable = columns(labels, doc_id="bigint", toxic="int").where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"), 3, 1))
     once = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = once.where("toxic = 1").orderBy(*hash_order(F.col("doc_id"))).limit(sample).unionAll(once.where("toxic = 0").orderBy(*hash_order(F.col("doc_id"))).limit(sample))
+    once = cut_lineage(once)
+    picked = hashed_sample(once.where("toxic = 1"), sample, "doc_id").unionAll(hashed_sample(once.where("toxic = 0"), sample, "doc_id"))
     return columns(docs, doc_id="bigint", text="string").join(F.broadcast(cut_lineage(picked)), "doc_id").select("text", "toxic")
 
 
@@ -412,14 +435,68 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
     return w
 
 
+def know_tokens(docs: DataFrame, lexicon: Lexicon) -> None:
+    """Look every distinct token of a table up once, and let the lexicon know those that hit.
+
+    Tokens become distinct in the task, then over the table, and are walked where they lie. Results do not depend on
+    whether the hits are few enough to be shipped.
+    """
+    lexicon.known, lexicon.veiled, lexicon.complete = {}, set(), False
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.update(text.split())
+                if len(held) > 500_000:
+                    yield pa.RecordBatch.from_pydict({"token": list(held)})
+                    held.clear()
+        yield pa.RecordBatch.from_pydict({"token": pa.array(list(held), pa.string())})
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [(t, *found) for t in batch.column("token").to_pylist() if (found := shared.value.look_up(t))[0] is not None]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "token": pa.array([t for t, _, _ in hits], pa.string()),
+                    "entry": pa.array([h[0] for _, h, _ in hits], pa.int32()),
+                    "right": pa.array([h[1] for _, h, _ in hits], pa.bool_()),
+                    "veiled": pa.array([v for _, _, v in hits], pa.bool_()),
+                }
+            )
+
+    tokens = columns(docs, text="string").where("text IS NOT NULL").mapInArrow(distinct, "token string")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A walk costs far more than its few bytes suggest, so partitions are not merged by size.
+    once = tokens.repartition(parts, "token").dropDuplicates(["token"])
+    hits = cut_lineage(once.mapInArrow(walk, "token string, entry int, right boolean, veiled boolean"))
+    if (hits.agg(F.sum(F.length("token") + 1)).first()[0] or 0) <= SHIPPED:
+        rows = hits.orderBy("token").collect()
+        lexicon.known = {r["token"]: (r["entry"], r["right"]) for r in rows}
+        lexicon.veiled = {r["token"] for r in rows if r["veiled"]}
+        lexicon.complete = True
+
+
 class ToxicityModel:
-    def __init__(self, lexicon: Lexicon | None, weights: np.ndarray | None):
+    def __init__(self, lexicon: Lexicon | None, weights: np.ndarray | None, known: DataFrame | None = None):
         self.lexicon, self.weights = lexicon, weights
+        self.docs = known  # the table whose tokens the lexicon knows
+
+    def __getstate__(self) -> dict:
+        return {"lexicon": self.lexicon, "weights": self.weights, "docs": None}
+
+    def over(self, docs: DataFrame) -> ToxicityModel:
+        """The model, knowing the tokens of a table."""
+        if self.lexicon is not None and (self.docs is None or not self.docs.sameSemantics(docs)):
+            know_tokens(docs, self.lexicon)
+            self.docs = docs
+        return self
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: list[str | None], of_table: bool = False) -> np.ndarray:
         if self.lexicon is None or self.weights is None:
             return np.zeros(len(texts))
-        x = self.lexicon.all_features(texts)
+        x = self.lexicon.all_features(texts, of_table)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
@@ -429,16 +506,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     lexicon = learn_lexicon(rows)
     if lexicon is None:
         return ToxicityModel(None, None)
+    # The sample is part of the table, so its tokens are known as well.
+    know_tokens(docs, lexicon)
     _learn_trust(rows, lexicon)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.DataFrame({"toxic": part["toxic"], "x": list(shared.value.all_features(part["text"].tolist()))})
+            yield pd.DataFrame({"toxic": part["toxic"], "x": list(shared.value.all_features(part["text"].tolist(), True))})
 
     found = rows.mapInPandas(features, "toxic int, x array<double>").groupBy("toxic", "x").count().toPandas()
     x = np.repeat(np.stack(found["x"].to_numpy()), found["count"], axis=0)
-    return ToxicityModel(lexicon, fit_logistic(x, np.repeat(found["toxic"].to_numpy(float), found["count"])))
+    return ToxicityModel(lexicon, fit_logistic(x, np.repeat(found["toxic"].to_numpy(float), found["count"])), docs)
 
 
 def _learn_trust(rows: DataFrame, lexicon: Lexicon) -> None:
@@ -448,7 +527,7 @@ def _learn_trust(rows: DataFrame, lexicon: Lexicon) -> None:
     def slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             lexicon, toxic = shared.value, part["toxic"].tolist()
-            counts = Counter((toxic[i], k) for i, hits in lexicon.candidates([t or "" for t in part["text"]]) for k in {h[0] for t, h in hits.items() if not h[1] and t not in lexicon.veiled})
+            counts = Counter((toxic[i], k) for i, hits in lexicon.candidates([t or "" for t in part["text"]], True) for k in {h[0] for t, h in hits.items() if not h[1] and t not in lexicon.veiled})
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["toxic", "entry", "n"])
 
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -460,11 +539,11 @@ def _learn_trust(rows: DataFrame, lexicon: Lexicon) -> None:
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.over(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.scores(batch.column("text").to_pylist())
+            found = shared.value.scores(batch.column("text").to_pylist(), True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("out"), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = columns(docs, doc_id="bigint", text="string").withColumn("out", held_out(F.col("doc_id"), 3, 1))
@@ -473,10 +552,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """`docs` without the rows whose text is scored toxic; all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.over(docs))
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()) < THRESHOLD)
+        return pd.Series(shared.value.scores(texts.tolist(), True) < THRESHOLD)
 
     return docs.where(clean(F.col("text").cast("string")))

@@ -148,3 +148,20 @@ def test_held_out_accuracy(spark, sf_dir):
     right = sum(r["predicted"] == r["toxic"] for r in found) / len(found)
     wrong_clean = sum(r["predicted"] for r in found if r["toxic"] == 0)
     assert right >= 0.95 and wrong_clean == 0
+
+
+@pytest.mark.parametrize("shipped", [-1, 4_000_000])
+def test_scores_do_not_depend_on_how_tokens_are_looked_up(spark, monkeypatch, shipped):
+    monkeypatch.setattr(toxicity, "SHIPPED", shipped)
+    docs, labels, rows = labelled(spark)
+    rows = [*rows, (5000, "you nincompop , you p0ltroon! \u201cscoundrel\u201d wretchedlY " + "x" * 5000, "en", "s", 0)]
+    docs = odd_docs(spark, rows)
+    model = toxicity.train(docs, labels)
+    assert model.lexicon.complete == (shipped > 0)
+    plain = toxicity.ToxicityModel(toxicity.Lexicon(model.lexicon.entries), model.weights)
+    plain.lexicon.trust = model.lexicon.trust
+    expected = sorted(zip([r[0] for r in rows], plain.scores([r[1] for r in rows]).tolist(), strict=True), key=repr)
+    assert sorted(((r["doc_id"], r["score"]) for r in toxicity.score(docs, model).collect()), key=repr) == expected
+    other = odd_docs(spark, [(1, "a poltron and a scoundrel", None, None, 0), (2, "nothing", None, None, 0)])
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(other, model).collect()}
+    assert found == dict(zip([1, 2], plain.scores(["a poltron and a scoundrel", "nothing"]).tolist(), strict=True))
