@@ -3,7 +3,8 @@
 Every learned language has a table of byte trigram likelihoods. The words of a document come from an unknown
 mixture of the languages; expectation-maximisation over the words' likelihoods estimates its proportions, and the set of
 languages is the one whose likelihood, less half the logarithm of the number of words for each further language, is
-greatest, found by leaving out the language with the smallest proportion again and again.
+greatest, found by leaving out the language with the smallest proportion again and again. Each estimate takes at most STEPS
+rounds, or fewer once proportions move by less than 0.0001.
 
 Counts are taken over all documents with a language outside the held-out part.
 
@@ -15,11 +16,11 @@ clash.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ MOST_LANGUAGES = 1_000
 STEPS = 12
 #: Texts are looked up in pieces of this many bytes.
 PIECE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _PLAIN = np.full(256, 0x20, np.uint8)
 _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[128:] = np.arange(128, 256)
@@ -124,7 +125,8 @@ class LanguageModel:
         whole, fit = mixture(scaled)
         share = whole
         while len(kept) > 1:
-            fewer = np.delete(kept, np.argmin(share))
+            # Of equally small ones the last by name goes.
+            fewer = np.delete(kept, len(share) - 1 - np.argmin(share[::-1]))
             small, small_fit = mixture(scaled[:, fewer])
             if small_fit + cost < fit:
                 break

@@ -9,7 +9,7 @@ counts every document. What a task gathers is one table of BUCKETS counts per pa
 
 Defined results: NULL, empty and wordless texts have importance 0; with no target rows every importance is 0 and
 the sample is uniform; ties of the noisy score go to the smaller doc_id (NULL last), then to the smaller text hash, and rows still equal are ranked in any order; repeated rows are
-separate rows, each with a chance of its own; an empty table gives an empty result; only doc_id and text are read, so
+separate rows with one noisy score between them, so all of them are kept but where the cut falls among them; an empty table gives an empty result; only doc_id and text are read, so
 further columns cannot clash.
 """
 

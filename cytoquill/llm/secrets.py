@@ -122,6 +122,21 @@ def digest_columns(found: DataFrame) -> DataFrame:
     )
 
 
+def _masked(text: Column, ranges: Column, mark: str) -> Column:
+    """A text with `mark` in place of ranges of code points (start, end); ranges that overlap are one."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+
+    def join(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))).cast(kind))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] > r["start"]), longer).otherwise(F.concat(done, F.array(r).cast(kind)))
+
+    merged = F.aggregate(F.sort_array(ranges), F.array().cast(kind), join)
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(merged, lambda r: r["end"]))
+    starts = F.concat(F.transform(merged, lambda r: r["start"]), F.array(F.length(text).cast("bigint")))
+    return F.array_join(F.zip_with(ends, starts, lambda e, s: F.substring(text, (e + 1).cast("int"), (s - e).cast("int"))), mark)
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """`docs` with the values of credentials of few owners replaced by `mark`; all other columns as they are, n_chars updated.
 
@@ -135,7 +150,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     hits = found.select("doc_id", F.explode("spans").alias("s")).where(few).select("doc_id", "s.value").distinct()
     hits = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("value"), asc=False).alias("secret_values"))
     joined = docs.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left")
-    replaced = F.aggregate(F.array_sort("h.secret_values", lambda a, b: F.length(b) - F.length(a)), F.col("d.text"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    # The scan of a text gives the same spans again; those with such a value are masked, and nothing else of the text.
+    hit = F.filter(base_spans(F.col("d.text")), lambda s: F.array_contains("h.secret_values", s["value"]))
+    replaced = _masked(F.col("d.text"), F.transform(hit, lambda s: F.struct(s["value_start"].alias("start"), s["end"].alias("end"))), mark)
     text = F.when(F.col("h.secret_values").isNotNull(), replaced).otherwise(F.col("d.text"))
     out = {"text": text} | ({"n_chars": F.length(text).cast("bigint")} if "n_chars" in docs.columns else {})
     return joined.select(*(out[c].alias(c) if c in out else F.col(f"d.{c}") for c in docs.columns))
