@@ -54,6 +54,8 @@ WINDOW = 6
 THRESHOLD = 0.7
 #: Characters of tokens that hit, up to which they are shipped to all workers at once; beyond, every worker looks tokens up itself.
 SHIPPED = 4_000_000
+#: Texts that are taken apart together in a worker.
+TEXTS = 256
 #: Longer tokens are not remembered by a worker.
 LONG_TOKEN = 1_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -340,10 +342,11 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> Lexicon | None:
             return pa.RecordBatch.from_pydict({"term": terms, "clean": pa.array([seen[0][t] for t in terms], pa.int64()), "toxic": pa.array([seen[1][t] for t in terms], pa.int64())})
 
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                text = text.as_py()
                 words = set(_LETTERS.findall((text or "").lower()))
                 seen[toxic].update({w[:40] for w in words if len(w) >= 3} | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n})
-                if len(seen[0]) + len(seen[1]) > 1_000_000:
+                if len(seen[0]) + len(seen[1]) > 200_000:
                     yield counted()
                     seen[0].clear()
                     seen[1].clear()
@@ -447,11 +450,12 @@ def know_tokens(docs: DataFrame, lexicon: Lexicon) -> None:
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: set[str] = set()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(text.split())
-                if len(held) > 500_000:
-                    yield pa.RecordBatch.from_pydict({"token": list(held)})
-                    held.clear()
+            for at in range(0, batch.num_rows, TEXTS):
+                for text in batch.column("text").slice(at, TEXTS).to_pylist():
+                    held.update(text.split())
+                    if len(held) > 100_000:
+                        yield pa.RecordBatch.from_pydict({"token": list(held)})
+                        held.clear()
         yield pa.RecordBatch.from_pydict({"token": pa.array(list(held), pa.string())})
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -543,7 +547,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.scores(batch.column("text").to_pylist(), True)
+            texts = batch.column("text")
+            found = np.concatenate([shared.value.scores(texts.slice(at, TEXTS).to_pylist(), True) for at in range(0, batch.num_rows, TEXTS)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("out"), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = columns(docs, doc_id="bigint", text="string").withColumn("out", held_out(F.col("doc_id"), 3, 1))
@@ -556,6 +561,6 @@ def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist(), True) < THRESHOLD)
+        return pd.Series(np.concatenate([shared.value.scores(texts.iloc[at : at + TEXTS].tolist(), True) for at in range(0, len(texts), TEXTS)] or [np.zeros(0)]) < THRESHOLD)
 
     return docs.where(clean(F.col("text").cast("string")))
