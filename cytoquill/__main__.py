@@ -24,13 +24,13 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--unpaired", action="store_true")
             p.add_argument("--require-tags", nargs="+", default=[], metavar="TAG=VALUE")
             p.add_argument("--guess-read-orientation", action="store_true")
+            p.add_argument("-l", "--region", nargs="*", default=[], help="chr, chr:start-end, or @file; an indexed BAM is read only there")
         return p
 
     p = job("call")
     p.add_argument("--vcf")
     p.add_argument("--bed")
     p.add_argument("-o", "--output", help="kind by extension")
-    p.add_argument("-l", "--region", nargs="*", default=[])
     p.add_argument("--model")
     p.add_argument("--cascade-model")
     p.add_argument("--untrained", action="store_true", help="without a model, score alts by their share of reads")
@@ -46,6 +46,10 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--nOB", default="0,0,0,0")
     p.add_argument("--keep-overlapping-reads", action="store_true")
     p.add_argument("--all", action="store_true")
+    p.add_argument("--vcf-info-fields", nargs="+", metavar="FIELD", help="INFO fields that are written")
+    p.add_argument("--vcf-format-fields", nargs="+", metavar="FIELD", help="FORMAT fields that are written")
+    p.add_argument("--vcf-all-fields", action="store_true")
+    p.add_argument("--segment-size", type=int, default=CallParams().phase_window, help="stretch whose median depth guards a phased site")
     p.add_argument("-c", "--cpgs-only", action="store_true")
     p = job("per-read")
     p.add_argument("-o", "--output", required=True)
@@ -67,6 +71,9 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--output", required=True)
     p.add_argument("-r", "--reference")
     p.add_argument("--strict", action="store_true")
+    p.add_argument("--reads", dest="alignments", help="reads of the table: off-target rates are reported too")
+    p.add_argument("--model")
+    p.add_argument("--untrained", action="store_true")
     p = job("train")
     p.add_argument("--truth", required=True)
     p.add_argument("--regions")
@@ -79,6 +86,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("predictions")
     p.add_argument("--truth")
     p.add_argument("--competitor")
+    p.add_argument("-l", "--region", nargs="*", default=[])
     p.add_argument("-o", "--output")
     return top
 
@@ -89,10 +97,16 @@ def main(argv: list[str] | None = None) -> int:
     from cytoquill.operators import features, forest, perread, records, verify
     from cytoquill.operators.reads import parse_tag_requirement
     from cytoquill.plans import jobs
-    from cytoquill.sources import alignments, fasta, sinks, tables
+    from cytoquill.plans.calling import spans_of
+    from cytoquill.sources import alignments, bcf, fasta, sinks, tables
 
     if hasattr(args, "reads"):
-        reads, ref = alignments.read_alignments(spark, args.reads), fasta.read_reference(spark, args.reference)
+        contigs = fasta.contigs(spark, args.reference)
+        region = tables.regions(spark, args.region, contigs) if args.region else None
+        # What sources read: the region with a margin for the caller, exactly the region for jobs that go read by read.
+        wide = spans_of(region) if region is not None else None
+        exact = spans_of(region, margin=0) if region is not None and args.job != "call" else wide
+        reads, ref = alignments.read_alignments(spark, args.reads, exact), fasta.read_reference(spark, args.reference, wide)
         keep = ReadFilter(args.include_flags, args.exclude_flags, args.unpaired, args.min_mapq, tuple(parse_tag_requirement(t) for t in args.require_tags))
     if args.job == "call":
         vcf, bed = args.vcf, args.bed
@@ -101,30 +115,42 @@ def main(argv: list[str] | None = None) -> int:
         params = CallParams(
             reads=keep, mask=EndMask(EndMask.parse(args.nOT), EndMask.parse(args.nOB)), min_baseq=args.min_baseq, max_coverage=args.max_coverage, ml_threshold=args.ml,
             error_model=args.error_model, all_positions=args.all, cpgs_only=args.cpgs_only, rescue_clips=args.rescue_soft_clip_cpg,
-            m_max_coverage=args.m_max_coverage, min_indel_reads=args.min_indel_ao, min_switch_quality=args.min_phase_quality,
+            m_max_coverage=args.m_max_coverage, min_indel_reads=args.min_indel_ao, min_switch_quality=args.min_phase_quality, phase_window=args.segment_size,
         )
-        region = tables.regions(spark, args.region, jobs.contigs_of(ref)) if args.region else None
-        jobs.run_call(spark, reads, ref, params, vcf, bed, args.model, args.cascade_model, region=region, keep_overlaps=args.keep_overlapping_reads, guess_orientation=args.guess_read_orientation, untrained=args.untrained)
+        fields = (args.vcf_info_fields, args.vcf_format_fields, args.vcf_all_fields)
+        jobs.run_call(spark, reads, ref, params, vcf, bed, args.model, args.cascade_model, contigs, fields, region=region, keep_overlaps=args.keep_overlapping_reads, guess_orientation=args.guess_read_orientation, untrained=args.untrained)
     elif args.job == "per-read":
         limited = ReadFilter(keep.include_flags, keep.exclude_flags, keep.unpaired, keep.min_mapq, keep.require_tags, args.max_read_length)
         rows = jobs.per_read(
             reads, ref, tables.read_calls(spark, args.calls) if args.calls else None, keep=limited, count_clipped=args.count_clipped, all_reads=args.all_reads,
             exclude_ambiguous=args.exclude_ambiguous, guess_orientation=args.guess_read_orientation,
         )
-        sinks.write_bed(perread.as_text(rows), args.output, jobs.contigs_of(ref), perread.OUTPUT)
+        sinks.write_bed(perread.as_text(rows), args.output, contigs, perread.OUTPUT)
     elif args.job.startswith("bam-"):
         tagged = jobs.tag_reads(reads, ref, tables.read_calls(spark, args.calls), args.job == "bam-legacy", keep)
-        alignments.write_sam(tagged, args.output, jobs.contigs_of(ref), " ".join(sys.argv[1:]))
+        command = " ".join(sys.argv[1:])
+        if args.output.endswith(".bam"):
+            alignments.write_bam(alignments.with_written_tags(tagged), args.output, contigs, command)
+        else:
+            alignments.write_sam(tagged, args.output, contigs, command)
     elif args.job == "convert":
         lines = tables.read_vcf(spark, args.input)
         contigs = tables.vcf_contigs(spark, args.input)
         if is_bed(args.output):
             sinks.write_bed(records.lines_to_bed(lines, args.include_empty), args.output, contigs)
         else:
-            sinks.write_lines(spark.read.text(args.input).withColumn("rank", sinks_rank(contigs)).where("value not like '#%'"), tables_header(spark, args.input), args.output, ["rank", "value"])
+            body = tables.variant_lines(spark, args.input).where("value not like '#%'").withColumn("rank", sinks_rank(contigs))
+            write = bcf.write_lines if args.output.endswith(".bcf") else sinks.write_lines
+            write(body, tables_header(spark, args.input), args.output, ["rank", "value"])
     elif args.job == "mbias":
         ref = fasta.read_reference(spark, args.reference) if args.reference else None
-        report = jobs.quality_tables(tables.read_per_read(spark, args.per_read), ref, strict=args.strict)
+        aligned = calls = None
+        if args.alignments:
+            if ref is None:
+                raise ValueError("off-target rates need a reference")
+            aligned = alignments.read_alignments(spark, args.alignments)
+            calls = jobs.call(aligned, ref, CallParams(), forest.load(spark, args.model) if args.model else None, untrained=args.untrained)
+        report = jobs.quality_tables(tables.read_per_read(spark, args.per_read), ref, aligned, calls, strict=args.strict)
         jobs.write_report(report, args.output)
         jobs.write_cutoffs(report["cutoff_lines"], f"{args.output}/cutoffs_by_contig")
     elif args.job == "train":
@@ -144,7 +170,10 @@ def main(argv: list[str] | None = None) -> int:
         forest.save(models, args.output)
         forest.importances(models, spark).write.mode("overwrite").json(f"{args.output}/importances")
     elif args.job == "verify":
-        load = lambda p: tables.read_vcf(spark, p) if p else None
+        if not args.truth and not args.competitor:
+            raise ValueError("verify needs --truth, --competitor, or both")
+        asked = spans_of(tables.regions(spark, args.region, tables.vcf_contigs(spark, args.predictions)), margin=0) if args.region else None
+        load = lambda p: tables.read_vcf(spark, p, asked) if p else None
         report = jobs.verify_report(load(args.predictions), load(args.truth), load(args.competitor))
         print(jobs.report_markdown(report))
         if args.output:
@@ -168,6 +197,10 @@ def sinks_rank(contigs: list[tuple[str, int]]):
 
 def tables_header(spark, path: str) -> list[str]:
     """Header lines in file order: they are few and all in the first part of the file."""
+    if path.endswith(".bcf"):
+        from cytoquill.sources import bcf
+
+        return bcf.header_lines(path)
     return [r[0] for r in spark.read.text(path).where("value like '#%'").collect()]
 
 

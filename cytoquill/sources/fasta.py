@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cytoquill.sources.lines import overlapping
+
 CHUNK = 1 << 16
 
 
@@ -86,11 +88,20 @@ class FastaSource(DataSource):
         return FastaReader(self.options)
 
 
-def read_reference(spark: SparkSession, path: str) -> DataFrame:
-    """ref(contig, pos, base) of a FASTA file; letters outside ACGT become N."""
+def read_reference(spark: SparkSession, path: str, regions: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """ref(contig, pos, base) of a FASTA file; letters outside ACGT become N. With regions, only stretches that touch one are taken apart."""
     spark.dataSource.register(FastaSource)
     chunks = spark.read.format("fasta").load(path)
+    chunks = overlapping(chunks.withColumn("_stop", F.col("start") + F.length("seq")), regions, "start", "_stop")
     bases = chunks.select("contig", "start", F.posexplode(F.split("seq", "")).alias("i", "b")).where("b <> ''")
     return bases.select(
         "contig", (F.col("start") + F.col("i")).alias("pos"), F.when(F.col("b").isin("A", "C", "G", "T"), F.col("b")).otherwise("N").alias("base")
     )
+
+
+def contigs(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Contigs and lengths in name order, from the index if there is one."""
+    if path.endswith(".gz"):
+        ends = read_reference(spark, path).groupBy("contig").agg((F.max("pos") + 1).alias("n")).collect()
+        return sorted((r["contig"], int(r["n"])) for r in ends)
+    return sorted((name, length) for name, length, *_ in read_index(path + ".fai"))

@@ -99,6 +99,11 @@ def test_substitution_clusters_take_in_their_neighbours(spark):
     # The nearest two are as far, and together too many; the next one fits.
     assert plain[105] == [(105, "C"), (105, "G"), (118, "A")]
     assert plain[118] == [(100, "A"), (110, "T"), (118, "A")]
+    # Twenty columns of two alts leave no room for each other; the one behind them fits, where no other is as far on the other side.
+    dense = [(p, a) for p in range(1000, 1100, 5) for a in "CG"] + [(1100, "A")]
+    crowd = spark.createDataFrame([("c", p, a) for p, a in dense], "contig string, pos bigint, alt string")
+    far = {r["cluster"]: [(e["anchor"], e["bases"]) for e in r["events"]] for r in haplotypes.snv_clusters(crowd, None).collect()}
+    assert all(far[p] == [(p, "C"), (p, "G")] + [(1100, "A")] * (p < 1050) for p in range(1000, 1100, 5))
     near = {r["cluster"]: [(e["anchor"], e["kind"]) for e in r["events"]] for r in haplotypes.snv_clusters(alts, indel).collect()}
     assert (112, "ins") in near[110] and (112, "ins") in near[105] and near[300] == [(300, "base")]
 

@@ -142,8 +142,9 @@ def test_forward_prefers_the_true_haplotype_and_ignores_conversion():
         block = al.ReadBlock([seq], [[35] * len(seq)], np.array([top]))
         out = []
         for h in (ref, deleted):
-            hap, level = al.slices(h, flat(h), np.array([start]), len(seq) + 2 * al.BAND)
-            out.append(al.score_block(block, np.array([0]), hap, level)[0])
+            pairs = al.Pairs()
+            pairs.add(np.array([0]), h, flat(h), np.array([start - al.BAND]), np.array([len(seq) + 2 * al.BAND]))
+            out.append(pairs.score(block)[0])
         return out
 
     same, gone = scores(ref[20:70], True, 20)
@@ -154,3 +155,33 @@ def test_forward_prefers_the_true_haplotype_and_ignores_conversion():
     converted = ref[:40] + "T" + ref[41:]
     assert scores(converted[20:70], True, 20)[0] == pytest.approx(plain, abs=1e-6)
     assert scores(converted[20:70], False, 20)[0] < plain - 2
+
+
+def test_slack_keeps_reads_with_gaps_the_haplotype_does_not_spell():
+    rng = np.random.default_rng(7)
+    ref = "".join(rng.choice(list("ACGT"), 400))
+    extra = "".join(rng.choice(list("ACGT"), 30))
+    reads = {  # sequence, placement of its first base, slack left and right
+        "plain": (ref[100:200], 100, 0, 0),
+        "deleted": (ref[100:150] + ref[180:230], 100, 0, 30),
+        "inserted": (ref[100:150] + extra + ref[150:200], 100, 30, 0),
+        "clipped": (ref[140:180] + ref[100:200], 60, 40, 40),
+    }
+
+    def score(names):
+        block = al.ReadBlock([reads[n][0] for n in names], [[35] * len(reads[n][0]) for n in names], np.ones(len(names), bool))
+        left, right = (np.array([reads[n][i] for n in names]) + al.BAND for i in (2, 3))
+        pairs = al.Pairs()
+        pairs.add(np.arange(len(names)), ref, np.full(len(ref), 0.5), np.array([reads[n][1] for n in names]) - left, block.length + left + right)
+        return pairs.score(block)
+
+    together = score(list(reads))
+    for i, name in enumerate(reads):
+        assert score([name])[0] == together[i]  # whatever else is in the batch
+    plain, deleted, inserted, clipped = together
+    # One gap costs its opening and extensions, not a read of mismatches.
+    assert plain - 45 < deleted < plain and plain - 60 < inserted < plain
+    no_room = al.Pairs()
+    block = al.ReadBlock([reads["deleted"][0]], [[35] * 100], np.ones(1, bool))
+    no_room.add(np.array([0]), ref, np.full(len(ref), 0.5), np.array([100 - al.BAND]), np.array([100 + 2 * al.BAND]))
+    assert deleted > no_room.score(block)[0] + 15
