@@ -4,7 +4,7 @@ from importlib import import_module
 
 from cytoquill.queries.registry import ORACLES, QUERIES
 
-FAMILIES = ["columns", "ranges", "comparison", "perread", "quality", "learning", "haplotypes", "export"]
+FAMILIES = ["columns", "ranges", "comparison", "perread", "quality", "learning", "haplotypes", "export", "files"]
 
 
 def load_all() -> None:

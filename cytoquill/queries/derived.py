@@ -167,21 +167,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _PREPARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def prepared(build):
+#: Rows of a part of a prepared table, and positions that stay together in one.
+PART_ROWS, PART_SPAN = 40_000, 64
+
+
+def prepared(source: str, rows_each: int = 1):
     """Derive a table once per application and input folder, as a reliable checkpoint in the shared folder.
 
     A user has reads and a reference as stored tables; this gives the queries the same starting point, and
-    keeps the derivation's long expressions out of their plans.
+    keeps the derivation's long expressions out of their plans. As a sorted file would be, the table is dealt by stretches of
+    the genome into parts whose number follows from the rows of `source` and the rows that each of them gives.
     """
 
-    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
-        if key not in _PREPARED:
-            _PREPARED[key] = cut_lineage(build(spark, sf_dir))
-        return _PREPARED[key]
+    def wrap(build):
+        def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+            if key not in _PREPARED:
+                parts = -(-table(spark, sf_dir, source).count() * rows_each // PART_ROWS)
+                built = build(spark, sf_dir).repartition(max(1, parts), "contig", F.expr(f"pos div {PART_SPAN}"))
+                _PREPARED[key] = cut_lineage(built)
+            return _PREPARED[key]
+
+        get.__name__, get.__doc__ = build.__name__, build.__doc__
+        return get
 
-    get.__name__, get.__doc__ = build.__name__, build.__doc__
-    return get
+    return wrap
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +199,7 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(table(spark, sf_dir, "part"), REF_COLUMNS)
 
 
-@prepared
+@prepared("part")
 def reference_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference with the two true neighbours on either side."""
     return tiling.with_neighbours(
@@ -204,7 +214,7 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@prepared
+@prepared("lineitem")
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per read base over a position."""
     raw = _project(table(spark, sf_dir, "lineitem").select(*LINEITEM), OBS_RAW)
@@ -219,7 +229,7 @@ def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped.withColumns({name: F.expr(text) for name, text in SHAPE.items()})
 
 
-@prepared
+@prepared("orders", 2)
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned reads with CIGAR, sequence and qualities, one row per alignment."""
     spelled = mates(spark, sf_dir).withColumn("q", F.explode(F.expr(f"sequence(0L, {READ_LENGTH - 1}L)")))
