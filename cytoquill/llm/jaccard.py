@@ -9,8 +9,8 @@ fragment and summed.
 
 Documents with equal sets are one class and only classes are joined. Links are wanted as components, so a segment that
 many classes share is never expanded into all pairs: its members first meet one of them (the hub), and after
-components are formed only those outside the segment's main component meet the others. In a large segment that is done by
-blocks, which also count the overlaps and give out no more links than keep together what they link: rows stay in
+components are formed only those outside the segment's main component meet the others. Large segments that have classes in
+common are one group for that, and it is done by blocks, which also count the overlaps and give out no more links than keep together what they link: rows stay in
 proportion to the classes whatever a group looks like. No pair that could connect two components stays unchecked.
 
 Defined results: NULL, empty and wordless texts have an empty set and are linked with nothing (their component is
@@ -302,9 +302,10 @@ def _forest(link: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _links_in_blocks(mixed: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components in segments that many classes share.
+    """Links (a, b) between components among classes that share large segments.
 
-    The members outside the main component and all members are cut into blocks. In a pair of blocks, sizes and outlines rule most
+    Segments with a class in common are one group, so that each class is there once however many of them it is in. In a
+    group, the members outside the main component and all members are cut into blocks. In a pair of blocks, sizes and outlines rule most
     pairs out, the overlaps of the others are counted, and of the links only those leave it that keep together what it links.
     """
     thermometer = lambda x, t: (x >= t).astype(np.float32)
@@ -330,15 +331,22 @@ def _links_in_blocks(mixed: DataFrame, members: DataFrame, sets: DataFrame, perc
         left, right = x["class"].to_numpy()[[i for i, _ in edges]], y["class"].to_numpy()[[j for _, j in edges]]
         return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
 
-    rows = mixed.join(members.select("class", "size", "outline"), "class")
-    cuts = rows.groupBy("segment").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLASS_BLOCK), F.ceil(F.sum("size") / GRAM_BLOCK)).alias("blocks"))
-    rows = rows.join(cuts, "segment").join(sets, "class")
+    hubs = mixed.groupBy("segment").agg(F.min("class").alias("hub"))
+    edges = mixed.select("segment", "class").join(hubs, "segment").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+    grouped = components(edges).select(F.col("vertex").alias("class"), F.col("component").alias("group"))
+    placed = mixed.select("class", "component").distinct().join(grouped, "class").join(members.select("class", "size", "outline"), "class")
+    per = placed.groupBy("group", "component").agg(F.count(F.lit(1)).alias("held"), F.sum("size").alias("grams"))
+    whole = per.groupBy("group").agg(
+        F.max_by("component", F.struct("held", "component")).alias("main"),
+        F.greatest(F.ceil(F.sum("held") / CLASS_BLOCK), F.ceil(F.sum("grams") / GRAM_BLOCK)).alias("blocks"),
+    )
+    rows = cut_lineage(placed.join(whole, "group").join(sets, "class"))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     mine = F.pmod(F.xxhash64("class"), F.col("blocks"))
     values = ["class", "component", "size", "outline", "grams"]
-    guests = rows.where("component <> main").select("segment", mine.alias("i"), every.alias("j"), *values, F.lit(True).alias("guest"))
-    homes = rows.select("segment", every.alias("i"), mine.alias("j"), *values, F.lit(False).alias("guest"))
-    return guests.unionAll(homes).groupBy("segment", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+    guests = rows.where("component <> main").select("group", mine.alias("i"), every.alias("j"), *values, F.lit(True).alias("guest"))
+    homes = rows.select("group", every.alias("i"), mine.alias("j"), *values, F.lit(False).alias("guest"))
+    return guests.unionAll(homes).groupBy("group", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int, shared: DataFrame | None = None) -> DataFrame:
