@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The frequent pieces of the corpus (what the pre-tokenizer cuts texts into) are compiled into an automaton that shares
-beginnings and endings. Every transition carries how many pieces come before it, so the sum along a piece's path is
+The pieces that the vocabulary itself holds (the commonest of what the pre-tokenizer cut its training texts into) are
+compiled into an automaton that shares beginnings and endings. Every transition carries how many pieces come before it, so the sum along a piece's path is
 its number, and that number points to the piece's ids. The automaton is written once into the shared folder as flat
 arrays, shipped to every executor by Spark and memory-mapped by its workers; all distinct pieces of a batch walk
 it at once, one byte per numpy step. Pieces outside it are merged exactly, by the rank of their byte pairs.
@@ -21,7 +21,6 @@ import hashlib
 import heapq
 import io
 import json
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,12 +28,11 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cytoquill.llm.tables import columns, cut_lineage, shared_file
+from cytoquill.llm.tables import columns, shared_file
 
-#: Pieces in the lexicon, at most, how often a piece must occur in the sample to enter it, and rows of the sample.
-LEXICON, LEAST, SAMPLE = 50_000, 2, 20_000
+#: Pieces in the lexicon, at most.
+LEXICON = 50_000
 #: Pieces of at most so many bytes are merged by plain search.
 SHORT = 24
 _NEVER = (1 << 62, -1)
@@ -278,41 +276,19 @@ class Encoder:
         return b"".join(self.tokens[ids].tolist()).decode("utf-8", "replace")
 
 
-def frequent_pieces(docs: DataFrame, limit: int = LEXICON, least: int = LEAST, sample: int = SAMPLE) -> list[str]:
-    """The commonest pieces of a sample of about `sample` rows, at most `limit`.
+def frequent_pieces(vocabulary: Vocabulary, limit: int = LEXICON) -> list[bytes]:
+    """The first `limit` tokens of the vocabulary in order of their ids, which is the order they were learned in.
 
-    The ids of a text do not depend on what is found here: a piece outside the lexicon is merged by the rules.
+    No text is looked at, so the lexicon is the same for every input. The ids of a text do not depend on it: a piece
+    outside is merged by the rules.
     """
+    return [token for token, _ in sorted(vocabulary.ids.items(), key=lambda x: x[1])[:limit]]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held = regex.compile(PATTERN).findall, Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(p for p in find(text) if len(p) <= 40)
-                if len(held) > 400_000:
-                    yield pa.RecordBatch.from_pydict({"piece": list(held), "held": pa.array(held.values(), pa.int64())})
-                    held.clear()
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(held, pa.string()), "held": pa.array(held.values(), pa.int64())})
-
-    texts = columns(docs, text="string").where("text <> ''")
-    rows = docs.count()
-    picked = texts.sample(sample / rows, seed=5) if rows > sample else texts
-    sums = cut_lineage(picked.mapInArrow(count, "piece string, held bigint").groupBy("piece").agg(F.sum("held").alias("held")).where(F.col("held") >= least))
-    # The count down to which pieces are taken, from how many pieces have each count: as many rows as there are counts.
-    cut, found = least, 0
-    for r in sorted(sums.groupBy("held").count().collect(), key=lambda r: -r["held"]):
-        found += r["count"]
-        cut = r["held"]
-        if found >= limit:
-            break
-    return [r["piece"] for r in sums.where(F.col("held") >= cut).orderBy(F.col("held").desc(), "piece").limit(limit).collect()]
-
-
-def build_lexicon(spark: SparkSession, docs: DataFrame, path: str, limit: int = LEXICON) -> str:
+
+def build_lexicon(spark: SparkSession, path: str, limit: int = LEXICON) -> str:
     """Compile the frequent pieces into the shared folder; returns the file's name for SparkFiles."""
     vocabulary = Vocabulary(path)
-    entries = {p.encode("utf-8", "surrogatepass"): vocabulary.merge(p.encode("utf-8", "surrogatepass")) for p in frequent_pieces(docs, limit)}
-    return shared_file(spark, compile_lexicon(entries), "bpe-lexicon")
+    return shared_file(spark, compile_lexicon({p: vocabulary.merge(p) for p in frequent_pieces(vocabulary, limit)}), "bpe-lexicon")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -329,7 +305,7 @@ def _encoder(vocabulary: Vocabulary, name: str) -> Encoder:
 def encode(docs: DataFrame, path: str, limit: int = LEXICON, with_ids: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids if wanted."""
     spark = docs.sparkSession
-    name = build_lexicon(spark, docs, path, limit)
+    name = build_lexicon(spark, path, limit)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

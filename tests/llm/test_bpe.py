@@ -75,3 +75,17 @@ def test_decoding_replaces_broken_bytes_and_refuses_unknown_ids(peer, tmp_path):
 
 def test_empty(spark):
     assert bpe.encode(no_docs(spark), PATH).count() == 0
+
+
+real = bpe.shared_file
+
+
+def test_lexicon_does_not_depend_on_the_documents(spark, monkeypatch):
+    """Nothing is counted or sampled: the same lexicon is compiled for every table, whatever its size."""
+    made = []
+    monkeypatch.setattr(bpe, "shared_file", lambda session, data, name: made.append(data) or real(session, data, name))
+    for docs in (no_docs(spark), odd_docs(spark, odd_rows())):
+        bpe.encode(docs, PATH, 500)
+    assert made[0] == made[1]
+    vocabulary = bpe.Vocabulary(PATH)
+    assert len(bpe.frequent_pieces(vocabulary, 500)) == 500
