@@ -7,6 +7,8 @@ keys of any size stay inside 64-bit arithmetic.
 
 from __future__ import annotations
 
+import numpy as np
+
 MODULUS = 9_999_991
 RANGE = 32_768
 
@@ -17,5 +19,11 @@ def mix(expr: str) -> str:
     return f"CAST(floor((({x}*({x}*40503 + 1103515245) + 12345) % 2147483648)/65536) AS BIGINT)"
 
 
+def mix_values(x: np.ndarray) -> np.ndarray:
+    """The same values for an array of integers that are not negative."""
+    x = x % MODULUS
+    return (x * (x * 40503 + 1103515245) + 12345) % 2147483648 // 65536
+
+
 def floor_div(expr: str, by: int) -> str:
     return f"CAST(floor(({expr})/{by}) AS BIGINT)"
