@@ -21,6 +21,7 @@ name); an empty table gives an empty result; only doc_id and text are read, so f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from cytoquill.llm.components import components
 from cytoquill.llm.hashing import mix, shingle_hashes, word_hashes
-from cytoquill.llm.tables import columns, cut_lineage, maybe_broadcast
+from cytoquill.llm.tables import columns, cut_lineage, maybe_broadcast, release
 
 #: Sizes of sets are grouped into ranges, each so many times as wide as the one before; at least 1 / threshold.
 RANGE = Fraction(14, 10)
@@ -301,17 +302,35 @@ def _forest(link: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def _cells(rows: DataFrame, sheets: DataFrame) -> DataFrame:
+    """`rows`, once for every cell (group, lo, hi) that they take part in, with `first` and `second`: the sides of the cell they are on.
+
+    A sheet holds the classes of a group of about one size, either those outside the main component or those in it, in blocks.
+    Its blocks meet each other if they are outside, and those of the sheets of the same and the next sizes if one of the two is outside.
+    A cell is an unordered pair of blocks, so no two blocks meet twice.
+    """
+    other = sheets.select("group", *[F.col(c).alias(f"{c}_2") for c in ("step", "guest", "sheet", "blocks")])
+    near = sheets.join(other, "group").where((F.abs(F.col("step") - F.col("step_2")) <= 1) & (F.col("guest") | F.col("guest_2")))
+    meets = near.groupBy("group", "sheet", "blocks").agg(F.collect_list(F.struct("sheet_2", "blocks_2")).alias("meets"))
+    key = lambda sheet, block: F.shiftleft(sheet.cast("bigint"), 32) + block
+    own = key(F.col("sheet"), F.pmod(F.xxhash64("class"), F.col("blocks")))
+    theirs = F.flatten(F.transform("meets", lambda m: F.transform(F.sequence(F.lit(0).cast("bigint"), m["blocks_2"] - 1), lambda i: key(m["sheet_2"], i))))
+    met = rows.join(meets, ["group", "sheet"]).select("group", "class", "component", "size", "outline", "grams", own.alias("own"), F.explode(theirs).alias("theirs"))
+    sides = {"lo": F.least("own", "theirs"), "hi": F.greatest("own", "theirs"), "first": F.col("own") <= F.col("theirs"), "second": F.col("own") >= F.col("theirs")}
+    return met.withColumns(sides).drop("own", "theirs")
+
+
 def _links_in_blocks(mixed: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components among classes that share large segments.
 
-    Segments with a class in common are one group, so that each class is there once however many of them it is in. In a
-    group, the members outside the main component and all members are cut into blocks. In a pair of blocks, sizes and outlines rule most
+    Segments with a class in common are one group, so that each class is there once however many of them it is in. A
+    group's classes are cut into blocks by size and by whether they are in its main component. In a pair of blocks, sizes and outlines rule most
     pairs out, the overlaps of the others are counted, and of the links only those leave it that keep together what it links.
     """
     thermometer = lambda x, t: (x >= t).astype(np.float32)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        x, y = block[block["guest"]], block[~block["guest"]]
+        x, y = block[block["first"]], block[block["second"]]
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": []})
         size_x, size_y = x["size"].to_numpy()[:, None], y["size"].to_numpy()[None, :]
@@ -326,6 +345,8 @@ def _links_in_blocks(mixed: DataFrame, members: DataFrame, sets: DataFrame, perc
             common[at] = np.minimum(common[at], np.rint(bound).astype(np.int64))
         may = 100 * common >= percent * (size_x + size_y - common)
         may &= x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
+        if block["lo"].iloc[0] == block["hi"].iloc[0]:
+            may = np.triu(may, 1)  # a block with itself: each pair once
         common = _overlaps(*([np.asarray(g, np.int64) for g in side["grams"]] for side in (x, y)), may)
         edges = _forest(may & (100 * common >= percent * (size_x + size_y - common)))
         left, right = x["class"].to_numpy()[[i for i, _ in edges]], y["class"].to_numpy()[[j for _, j in edges]]
@@ -335,18 +356,16 @@ def _links_in_blocks(mixed: DataFrame, members: DataFrame, sets: DataFrame, perc
     edges = mixed.select("segment", "class").join(hubs, "segment").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
     grouped = components(edges).select(F.col("vertex").alias("class"), F.col("component").alias("group"))
     placed = mixed.select("class", "component").distinct().join(grouped, "class").join(members.select("class", "size", "outline"), "class")
-    per = placed.groupBy("group", "component").agg(F.count(F.lit(1)).alias("held"), F.sum("size").alias("grams"))
-    whole = per.groupBy("group").agg(
-        F.max_by("component", F.struct("held", "component")).alias("main"),
-        F.greatest(F.ceil(F.sum("held") / CLASS_BLOCK), F.ceil(F.sum("grams") / GRAM_BLOCK)).alias("blocks"),
-    )
-    rows = cut_lineage(placed.join(whole, "group").join(sets, "class"))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    mine = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    values = ["class", "component", "size", "outline", "grams"]
-    guests = rows.where("component <> main").select("group", mine.alias("i"), every.alias("j"), *values, F.lit(True).alias("guest"))
-    homes = rows.select("group", every.alias("i"), mine.alias("j"), *values, F.lit(False).alias("guest"))
-    return guests.unionAll(homes).groupBy("group", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+    per = placed.groupBy("group", "component").agg(F.count(F.lit(1)).alias("held"))
+    main = per.groupBy("group").agg(F.max_by("component", F.struct("held", "component")).alias("main"))
+    # Sizes that differ by more than the threshold allows are two steps apart or more; steps are a little wider against rounding.
+    step = F.floor(F.log("size") / math.log(1.001 * 100 / percent)).cast("int") if percent < 100 else F.col("size").cast("int")
+    rows = placed.join(main, "group").join(sets, "class").withColumn("guest", F.col("component") != F.col("main")).withColumn("step", step)
+    rows = cut_lineage(rows.withColumn("sheet", 2 * F.col("step") + F.col("guest").cast("int")).drop("main"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / CLASS_BLOCK), F.ceil(F.sum("size") / GRAM_BLOCK))
+    sheets = cut_lineage(rows.groupBy("group", "step", "guest", "sheet").agg(blocks.alias("blocks")))
+    release(mixed.sparkSession)
+    return _cells(rows, sheets).groupBy("group", "lo", "hi").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int, shared: DataFrame | None = None) -> DataFrame:
@@ -382,8 +401,11 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int, shar
     tried = cut_lineage(shared.join(hubs, "segment").where(F.col("class") != F.col("hub")).select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
     if tried.isEmpty():
         return spark.createDataFrame([], "class bigint, component bigint")
+    release(spark)
     links = verified(tried)
+    release(spark)
     found = components(links)
+    release(spark)
     # Then: whatever is outside a segment's main component meets all classes of the segment in other components.
     placed = shared.join(found.select(F.col("vertex").alias("class"), "component"), "class", "left").select("segment", "class", F.coalesce("component", "class").alias("component"))
     per = placed.groupBy("segment", "component").agg(F.count(F.lit(1)).alias("held"))
@@ -396,13 +418,16 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int, shar
     rest = cut_lineage(rest.distinct().join(tried, ["a", "b"], "left_anti"))
     large = mixed.where(F.col("held_classes") > SMALL_SEGMENT)
     more = [verified(rest)] if not rest.isEmpty() else []
+    release(spark)
     if not large.isEmpty():
         whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("fragment", "grams"))), lambda x: x["grams"]))
         sets = fragment_sets(docs, classes, large.select("class").distinct(), n).groupBy("class").agg(whole.alias("grams"))
         more.append(cut_lineage(_links_in_blocks(large, members, sets, percent)))
+        release(spark)
     if more:
         links = reduce(DataFrame.unionAll, [links, *more])
         found = components(links)
+        release(spark)
     return found.select(F.col("vertex").alias("class"), "component")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import io
 import math
 import uuid
@@ -18,13 +19,22 @@ from cytoquill.session import cut_lineage, ensure_checkpoint_dir
 #: A table of at most so many narrow rows may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 
-__all__ = ["BROADCAST_ROWS", "columns", "cut_lineage", "ensure_checkpoint_dir", "hash_order", "hashed_sample", "load_arrays", "maybe_broadcast", "parts_for", "query_chunks", "shared_arrays", "shared_file", "stored", "table", "unit"]
+__all__ = ["BROADCAST_ROWS", "columns", "cut_lineage", "ensure_checkpoint_dir", "hash_order", "hashed_sample", "load_arrays", "maybe_broadcast", "parts_for", "query_chunks", "release", "shared_arrays", "shared_file", "stored", "table", "unit"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver collects garbage, which a large heap with little work puts off until disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def columns(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, with these types: whatever else a table holds cannot clash with what is added."""
     return df.select(*(F.col(name).cast(kind).alias(name) for name, kind in types.items()))

@@ -151,3 +151,19 @@ def test_a_group_of_near_copies_that_no_hub_joins(spark):
                     low, high = sorted((root(i), root(j)))
                     label[high] = low
     assert found == {i: root(i) for i in range(len(rows))}
+
+
+def test_blocks_of_a_group_meet_once_and_only_near_sizes(spark):
+    rng = random.Random(6)
+    rows = [(1, c, c % 90, rng.choice([0, 1, 2, 9]), rng.random() < 0.7) for c in range(200)]
+    rows = [(g, c, part, step, guest, 2 * step + guest, 1, b"", []) for g, c, part, step, guest in rows]
+    kind = "group bigint, class bigint, component bigint, step int, guest boolean, sheet int, size bigint, outline binary, grams array<bigint>"
+    sheets = [(1, step, guest, 2 * step + guest, 3) for step in (0, 1, 2, 9) for guest in (False, True)]
+    made = spark.createDataFrame(sheets, "group bigint, step int, guest boolean, sheet int, blocks bigint")
+    cells = {}
+    for r in jaccard._cells(spark.createDataFrame(rows, kind), made).collect():
+        cells.setdefault((r["lo"], r["hi"]), []).append((r["class"], r["first"], r["second"]))
+    met = [tuple(sorted((a, b))) for (lo, hi), held in cells.items() for a, x, _ in held for b, _, y in held if x and y and (lo != hi or a < b)]
+    near = [(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and abs(a[3] - b[3]) <= 1 and (a[4] or b[4])]
+    assert sorted(met) == sorted(near)
+    assert sum(len(held) for held in cells.values()) < sum(2 * 3 * 4 for _ in rows)
