@@ -320,6 +320,18 @@ def _cells(rows: DataFrame, sheets: DataFrame) -> DataFrame:
     return met.withColumns(sides).drop("own", "theirs")
 
 
+def _grouped(mixed: DataFrame) -> DataFrame:
+    """(class, component, group) of all classes: segments that have classes in common are one group.
+
+    A class hangs on the smallest hub of its segments, so only hubs that have a class in common are linked.
+    """
+    hubs = mixed.groupBy("segment").agg(F.min("class").alias("hub"))
+    held = mixed.join(hubs, "segment").groupBy("class").agg(F.first("component").alias("component"), F.min("hub").alias("hub"), F.collect_set("hub").alias("hubs"))
+    held = cut_lineage(held)
+    found = components(held.select(F.col("hub").alias("a"), F.explode("hubs").alias("b"))).select(F.col("vertex").alias("hub"), F.col("component").alias("group"))
+    return held.join(found, "hub", "left").select("class", "component", F.coalesce("group", "hub").alias("group"))
+
+
 def _links_in_blocks(mixed: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components among classes that share large segments.
 
@@ -352,10 +364,7 @@ def _links_in_blocks(mixed: DataFrame, members: DataFrame, sets: DataFrame, perc
         left, right = x["class"].to_numpy()[[i for i, _ in edges]], y["class"].to_numpy()[[j for _, j in edges]]
         return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
 
-    hubs = mixed.groupBy("segment").agg(F.min("class").alias("hub"))
-    edges = mixed.select("segment", "class").join(hubs, "segment").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    grouped = components(edges).select(F.col("vertex").alias("class"), F.col("component").alias("group"))
-    placed = mixed.select("class", "component").distinct().join(grouped, "class").join(members.select("class", "size", "outline"), "class")
+    placed = _grouped(mixed).join(members.select("class", "size", "outline"), "class")
     per = placed.groupBy("group", "component").agg(F.count(F.lit(1)).alias("held"))
     main = per.groupBy("group").agg(F.max_by("component", F.struct("held", "component")).alias("main"))
     # Sizes that differ by more than the threshold allows are two steps apart or more; steps are a little wider against rounding.

@@ -9,6 +9,7 @@ import pytest
 from cytoquill.llm import jaccard
 from cytoquill.llm.components import components
 from cytoquill.llm.hashing import mix
+from cytoquill.session import cut_lineage
 
 from .data import no_docs, odd_docs, odd_rows, words
 
@@ -94,6 +95,78 @@ def test_components_of_long_paths(spark):
     assert found == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
 
 
+def plain_labels(links):
+    label = {v: v for link in links for v in link}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_odd_graphs(spark, seed):
+    rng = random.Random(seed)
+    ids = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(90)]
+    path = rng.sample(ids[:30], 30)
+    links = list(zip(path, path[1:], strict=False)) + [(v, ids[31]) for v in ids[31:50]] + [tuple(rng.sample(ids[50:80], 2)) for _ in range(25)]
+    links += [(b, a) for a, b in links[::3]] + links[::4]
+    odd = [(ids[85], ids[85]), (ids[86], None), (None, ids[87])]
+    found = components(spark.createDataFrame(links + odd, "a bigint, b bigint")).collect()
+    assert sorted(tuple(r) for r in found) == sorted(plain_labels(links).items())
+    assert components(spark.createDataFrame(odd, "a bigint, b bigint")).collect() == []
+
+
+def test_components_do_not_carry_settled_vertices(spark, monkeypatch):
+    """A long path takes many steps; pairs and stars beside it are settled at once and must not go through each of them."""
+    links = [(i, i + 1) for i in range(64)] + [(i, i + 1) for i in range(1_000, 5_000, 2)] + [(10_000, i) for i in range(10_001, 12_000)]
+    stored = []
+
+    def counted(df):
+        stored.append(cut_lineage(df))
+        return stored[-1]
+
+    monkeypatch.setattr("cytoquill.llm.components.cut_lineage", counted)
+    found = {r["vertex"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert found == {**dict.fromkeys(range(65), 0), **{i: i - i % 2 for i in range(1_000, 5_000)}, **dict.fromkeys(range(10_000, 12_000), 10_000)}
+    assert sum(df.count() for df in stored) < 6 * len(links)
+
+
+def test_classes_of_many_large_segments_hang_on_one_hub(spark, monkeypatch):
+    """Segments of 40 neighbours each: links to name their groups follow the hubs, not the classes of every segment."""
+    rows = [(s, c, c % 3) for g in range(4) for s in range(100 * g, 100 * g + 20) for c in range(1_000 * g + s % 5, 1_000 * g + 400)]
+    rows += [(500 + i, 9_000 + c, 0) for i in range(3) for c in range(10 * i, 10 * i + 12)]
+    given = []
+
+    def counted(links):
+        given.append(links.where("a <> b").distinct().count())
+        return components(links)
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    mixed = spark.createDataFrame(rows, "segment bigint, class bigint, component bigint")
+    found = jaccard._grouped(mixed).collect()
+    assert sorted(tuple(r) for r in found) == sorted({(c, k, 9_000 if c >= 9_000 else c - c % 1_000) for _, c, k in rows})
+    assert given[0] <= 4 * 4 + 2
+
+
+def test_a_large_group_links_few_hubs(spark, monkeypatch):
+    """Near copies that share many large segments: the links that group their segments stay far fewer than the classes."""
+    rng = random.Random(5)
+    base, rows, given = words(rng, 60).split(), [], []
+    for i in range(1_500):
+        copy = list(base)
+        for k in rng.sample(range(60), 2):
+            copy[k] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(copy), "en", "s", 0))
+
+    def counted(links):
+        given.append(links.where("a <> b").distinct().count())
+        return components(links)
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    jaccard.jaccard_components(odd_docs(spark, rows), 3, 90).count()
+    assert len(given) == 3 and given[1] < 500
+
+
 def test_empty(spark):
     assert jaccard.jaccard_components(no_docs(spark), 3, 90).count() == 0
 
